@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, packing, quality
+from . import dac, ngram_join, packing, quality
 from .common import table
 from .encoder import vocabulary
 
@@ -17,6 +17,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_digest(written)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.decompose(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
@@ -30,6 +34,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
 }
