@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, ngram_join, packing, quality
+from . import dac, html_text, licenses, ngram_join, packing, quality
 from .common import table
 from .encoder import vocabulary
 
@@ -17,6 +17,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_digest(written)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -32,11 +36,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule").cast("int"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = html_text.with_text(pages, html_text.fit(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op3_license_scan": op3_license_scan,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
