@@ -19,7 +19,7 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     spark = links.sparkSession
     lo, hi = F.least(a, b), F.greatest(a, b)
-    edges, at = saved(links.where(f"`{a}` <> `{b}`").select(lo.cast("long").alias("a"), hi.cast("long").alias("b")).distinct(), "links")
+    edges, at = saved(links.where(f"`{a}` <> `{b}`").select(lo.alias("a"), hi.alias("b")).distinct(), "links")
     total, done = None, []
     while not is_empty(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -45,4 +45,4 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         done = [whole_at]
         total, edges, at = whole.withColumnRenamed("to", "component_id"), left, left_at
     dropped(spark, at)
-    return total if total is not None else spark.createDataFrame([], "id long, component_id long")
+    return total if total is not None else links.select(F.col(a).alias("id"), F.col(b).alias("component_id")).limit(0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, html_text, licenses, ngram_join, packing, quality
+from . import dac, html_text, licenses, line_dedup, ngram_join, packing, quality
 from .common import table
 from .encoder import vocabulary
 
@@ -42,6 +42,13 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup(docs, removed="n_removed")
+    kept = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    return out.select("doc_id", "text", "n_removed", kept.alias("n_chars_kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op3_license_scan": op3_license_scan,
@@ -49,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op9_html_extraction": op9_html_extraction,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
