@@ -3,17 +3,19 @@
 The Jaccard distance d = 1 - |x & y| / |x | y| of shingle sets is a metric; documents link when d <= r.
 
 1. Documents with equal sets form one class; its document of the smallest id stands for it.
-2. First regions: the pivots are single shingles, each a point at distance below 1 from just those sets that hold it.
-   All shingles are ordered, rare ones first, and a set belongs to its first pivot and, as a boundary document, to as
-   many further ones as a set at distance r could move it: n - ceil((1 - r) n) + 1 in all. Linked sets share a region.
-3. In a region documents themselves are pivots. Distances to a pivot are bounded from the sets' first pivots, and
-   measured exactly where the bound leaves a link possible. Documents within r of a pivot form its Voronoi cell; they
-   are in one component and need no comparison among each other. Documents outside that a bound does not put beyond
-   2 r are boundary documents and are replicated into the cell's region, for by the triangle inequality only they can
-   link with a document of the cell. All documents outside form one further region, without the pivots.
-4. Regions join recursively. A region whose documents are all in one component is done; one of few documents is
-   compared pair by pair, but for pairs already in one component. The recursion ends with no region left, so every
-   link between different texts is either measured or lies inside a component that other links hold together.
+2. All shingles are ordered, rare ones first. Sets at distance r share one of the first n - ceil((1 - r) n) + 1 shingles
+   of each. Of the documents that hold a shingle among these, the one of the smallest id is a pivot for all of them. A
+   document's pivots are few, since copies of one text have the same ones; the region of a pivot are the documents that
+   have it, and linked documents share a region.
+3. Distances to the pivots are bounded from the first shingles, and measured exactly where the bound leaves a link
+   possible. Documents within r of a pivot form its Voronoi cell: they are in one component and are not compared with
+   each other. By the triangle inequality only documents up to 2 r from the pivot, the rim, can link with a document of
+   the cell; documents beyond are compared with the rim and among each other.
+4. Regions with more than one component join recursively: large ones are cut into blocks of cell, rim and beyond, of
+   which only the pairs that can hold a link meet. In a pair of blocks, common shingles of all documents are counted by
+   a matrix product, over the first shingles to drop documents without a possible partner in another component, then
+   over whole sets. Links between components already joined in the block are not given out, so a block gives fewer
+   links than it has documents.
 
 Shingle frequencies only set the order. They are counted over all documents; the frequent ones number at most
 FREQUENT, which bounds the broadcast.
@@ -33,7 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, is_empty, saved, short_batches, texts
+from .buckets import maybe, table_of
+from .common import dropped, saved, short_batches, texts
 from .components import connected
 from .shingles import shingle_set
 
@@ -41,8 +44,9 @@ WIDTH, PERCENT = 5, 80
 #: Shingles that are ordered last are at most so many: those that make up 1 / FREQUENT of all or more.
 FREQUENT = 2_000_000
 LEAST_FREQUENT = 32
-#: A region of at most so many documents is compared pair by pair; a larger one gets so many pivots in a round.
-SMALL, PIVOTS = 48, 8
+#: Documents of a block.
+BLOCK = 512
+CELL, RIM, BEYOND = 0, 1, 2
 #: Shingles counted together before a task's counts of LOCAL or more go out.
 FLUSH, LOCAL = 4_000_000, 4
 
@@ -127,6 +131,88 @@ def _sets(width: int):
     return run
 
 
+def common_counts(arrays: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of each two arrays of distinct elements."""
+    m = len(arrays)
+    of = np.repeat(np.arange(m), [len(x) for x in arrays])
+    flat = np.concatenate(arrays) if m else np.empty(0, dtype=np.int64)
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    new = np.ones(len(flat), dtype=bool)
+    new[1:] = flat[1:] != flat[:-1]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column, minlength=1)[column] > 1
+    of, column = of[shared], column[shared]
+    out = np.zeros((m, m), dtype=np.float32)
+    if len(column):
+        column = np.cumsum(np.r_[True, column[1:] != column[:-1]]) - 1
+        for at in range(0, int(column[-1]) + 1, 4096):
+            lo, hi = np.searchsorted(column, [at, at + 4096])
+            a = np.zeros((m, 4096), dtype=np.float32)
+            a[of[lo:hi], column[lo:hi] - at] = 1
+            out += a @ a.T
+    return out.astype(np.int64)
+
+
+def _compared(percent: int, exact: bool):
+    """Rows (task, id, n, c, state, items), sorted by task, as links (exact) or as the rows with a possible partner."""
+
+    def group(task: int, rows: list[tuple]) -> list[tuple[int, int]]:
+        ids, n, c, state = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+        both = common_counts([r[4] for r in rows])
+        nn = n[:, None] + n[None, :]
+        if not exact:
+            rest = n - np.array([len(r[4]) for r in rows], dtype=np.int64)
+            both = np.minimum(np.minimum(n[:, None], n[None, :]), both + np.maximum(rest[:, None], rest[None, :]))
+        ok = 100 * both >= percent * (nn - both)
+        ok &= c[:, None] != c[None, :]
+        cell, beyond = state == CELL, state == BEYOND
+        ok &= ~(cell[:, None] & (cell | beyond)[None, :]) & ~(beyond[:, None] & cell[None, :])
+        if not exact:
+            return [(task, int(x)) for x in ids[ok.any(axis=1)]]
+        parent = {int(x): int(x) for x in c}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in np.argwhere(np.triu(ok)):
+            a, b = root(int(c[i])), root(int(c[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[i]), int(ids[j])))
+        return out
+
+    names = ["a", "b"] if exact else ["task", "id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names)
+
+        for batch in batches:
+            tasks, columns = batch.column(0).to_pylist(), [batch.column(k).to_pylist() for k in range(1, 5)]
+            items, places = batch.column(5).flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(batch.column(5).value_lengths().to_numpy(zero_copy_only=False))]
+            for k, task in enumerate(tasks):
+                if task != now:
+                    if len(held) > 1:
+                        out += group(now, held)
+                    now, held = task, []
+                held.append((*(x[k] for x in columns), np.array(items[places[k] : places[k + 1]])))
+            if len(out) > 10_000:
+                yield given()
+                out = []
+        if len(held) > 1:
+            out += group(now, held)
+        yield given()
+
+    return run
+
+
 class _Join:
     """One run over a table of documents."""
 
@@ -156,7 +242,7 @@ class _Join:
         bounded = sized.select("a", "b", "na", "nb", most.alias("most")).where(f"100 * most >= {reach} * (na + nb - most)")
         bounded, bounded_at = saved(bounded.withColumn("open", F.expr(f"100 * most >= {p} * (na + nb - most)")), "bounded")
         asked = bounded.where("open").select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets, sets_at = saved(self.texts.join(asked, "id", "left_semi").mapInArrow(_sets(self.width), "id long, shingles array<long>"), "sets")
+        sets, sets_at = self.sets_of(asked)
         left = bounded.where("open").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         common = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c"))
@@ -165,67 +251,63 @@ class _Join:
         dropped(self.spark, bounded_at, sets_at)
         return out, [out_at]
 
-    # Regions ------------------------------------------------------------------------------------------------------
-
-    def first_regions(self) -> DataFrame:
-        """(region, id) where a region has two documents or more."""
-        light = self.sets.select("id", F.explode("light").alias("region"))
-        heavy = self.sets.select("id", F.explode("heavy").alias("region"))
+    def sets_of(self, asked: DataFrame) -> tuple[DataFrame, str]:
+        """(id, shingles) of the asked ids. A bucket table keeps texts that are not asked from being shuffled."""
+        some = self.texts.where(maybe(table_of(asked, "id"), "id"))
+        return saved(some.mapInArrow(_sets(self.width), "id long, shingles array<long>").join(asked, "id", "left_semi"), "sets")
 
-        def often_of(rows: DataFrame) -> DataFrame:
-            return rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # Regions ------------------------------------------------------------------------------------------------------
 
-        return light.join(often_of(light), "region").select("region", "id").union(heavy.join(often_of(heavy), "region").select("region", "id"))
+    def regions(self) -> tuple[DataFrame, str]:
+        """Distinct (p, id): documents by their pivots."""
+
+        def of(rows: DataFrame) -> DataFrame:
+            pivots = rows.groupBy("shingle").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p < last").select("shingle", "p")
+            return rows.join(pivots, "shingle").select("p", "id")
+
+        light = self.sets.select("id", F.explode("light").alias("shingle"))
+        heavy = self.sets.select("id", F.explode("heavy").alias("shingle"))
+        return saved(of(light).union(of(heavy)).distinct(), "regions")
+
+    def tasks(self, cells: DataFrame) -> DataFrame:
+        """(task, id, c, state) for the pairs of blocks of each region of (p, id, c, state) that can hold a link."""
+        count = lambda k: F.ceil(F.sum(F.when(F.col("state") == k, 1).otherwise(0)) / BLOCK).cast("int")
+        sizes = cells.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), count(CELL).alias("n0"), count(RIM).alias("n1"), count(BEYOND).alias("n2"))
+        sizes = sizes.where("lo <> hi").drop("lo", "hi")
+        block = "pmod(xxhash64(id), CASE state WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END)"
+        rows = cells.join(sizes, "p").withColumn("b", F.expr(f"cast({block} as int)"))
+        upto = lambda n: f"filter(sequence(0, {n}), j -> j < {n})"
+        same = lambda k: f"transform({upto(f'n{k}')}, j -> xxhash64(p, {k}, least(b, j), {k}, greatest(b, j)))"
+        mixed = lambda other, k: f"transform({upto(f'n{other}')}, j -> xxhash64(p, 1, {'j, ' + str(k) + ', b' if other == 1 else 'b, ' + str(other) + ', j'}))"
+        tasks = F.expr(f"""CASE WHEN m <= {BLOCK} THEN array(xxhash64(p))
+            WHEN state = 0 THEN {mixed(1, 0)}
+            WHEN state = 1 THEN concat({same(1)}, {mixed(0, 1)}, {mixed(2, 1)})
+            ELSE concat({same(2)}, {mixed(1, 2)}) END""")
+        return rows.select(F.explode(tasks).alias("task"), "id", "c", "state")
+
+    def compared(self, rows: DataFrame, exact: bool) -> DataFrame:
+        rows = rows.select("task", "id", "n", "c", "state", "items").repartition("task").sortWithinPartitions("task")
+        return rows.mapInArrow(_compared(self.percent, exact), "a long, b long" if exact else "task long, id long")
 
     def run(self) -> DataFrame:
-        regions, at = saved(self.first_regions(), "regions")
-        links, made, paths = None, [], [at]
-        of = None
-        first = True
-        while not is_empty(regions):
-            if not first:
-                known = regions.join(of, "id", "left").select("region", "id", F.coalesce("component_id", "id").alias("c"))
-                known, known_at = saved(known, "coloured")
-                mixed = known.groupBy("region").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("region", "n")
-                rows, rows_at = saved(known.join(mixed, "region"), "mixed")
-                dropped(self.spark, known_at, *paths)
-                paths = [rows_at]
-                if is_empty(rows):
-                    break
-                small = rows.where(F.col("n") <= SMALL)
-                other = small.select("region", F.col("id").alias("b"), F.col("c").alias("cb"))
-                close = small.join(other, "region").where("id < b AND c <> cb").select(F.col("id").alias("a"), "b")
-                large = rows.where(F.col("n") > SMALL)
-            else:
-                large, close = regions.withColumn("c", F.col("id")), None
-            picks = [F.min("id")] if first else [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"] for k in range(PIVOTS)]
-            pivots = large.groupBy("region").agg(F.array_distinct(F.array(*picks)).alias("p"))
-            pivots = pivots.select("region", F.explode("p").alias("p"))
-            tried = large.join(pivots, "region").where("id <> p")
-            if not first:
-                colours = large.select("region", F.col("id").alias("p"), F.col("c").alias("cp"))
-                tried = tried.join(colours, ["region", "p"]).where("c <> cp")
-            asked = tried.select(F.col("p").alias("a"), F.col("id").alias("b"))
-            found, found_at = self.measured(asked if close is None else asked.union(close))
-            made += found_at
-            new = found.where("linked").select("a", "b")
-            links = new if links is None else links.union(new)
-            of = connected(links)
-            # Cells and what is left of the regions.
-            hit = large.join(pivots, "region").join(found.select(F.col("a").alias("p"), F.col("b").alias("id"), "linked", "near"), ["p", "id"])
-            cells = hit.where("near")
-            rim = cells.where("NOT linked").select("region", "p").distinct()
-            inner = cells.join(rim, ["region", "p"]).select(F.xxhash64("region", "p", F.lit("cell")).alias("region"), "id")
-            inside = hit.where("linked").select("region", "id").union(pivots.select("region", F.col("p").alias("id"))).distinct()
-            outer = large.select("region", "id").join(inside, ["region", "id"], "left_anti").select(F.xxhash64("region", F.lit("rest")).alias("region"), "id")
-            regions, next_at = saved(inner.union(outer).distinct(), "regions")
-            dropped(self.spark, *paths)
-            paths, first = [next_at], False
+        regions, at = self.regions()
+        found, (found_at,) = self.measured(regions.where("p <> id").select(F.col("p").alias("a"), F.col("id").alias("b")))
+        links = found.where("linked").select("a", "b")
+        of, of_at = saved(connected(links), "components")
+        state = F.when((F.col("p") == F.col("id")) | F.col("linked"), CELL).when(F.col("near"), RIM).otherwise(BEYOND)
+        known = found.select(F.col("a").alias("p"), F.col("b").alias("id"), "linked", "near")
+        cells = regions.join(known, ["p", "id"], "left").join(of, "id", "left").select("p", "id", F.coalesce("component_id", "id").alias("c"), state.alias("state"))
+        cells, cells_at = saved(cells, "cells")
+        tasks, tasks_at = saved(self.tasks(cells), "tasks")
+        first = tasks.join(self.sets.select("id", "n", F.col("first").alias("items")), "id")
+        open_rows, open_at = saved(self.compared(first, exact=False), "open")
+        sets, sets_at = self.sets_of(open_rows.select("id").distinct())
+        whole = tasks.join(open_rows, ["task", "id"]).join(sets.select("id", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("items")), "id")
+        more, more_at = saved(self.compared(whole, exact=True), "links")
+        of = connected(links.union(more))
+        dropped(self.spark, at, found_at, of_at, cells_at, tasks_at, open_at, sets_at, more_at)
         members = self.all.join(self.classes.select("digest", "id"), "digest", "left")
-        node = F.coalesce("id", "doc_id")
-        out = members.select("doc_id", F.col("n").alias("n_shingles"), node.alias("id"))
-        if of is None:
-            return out.select("doc_id", "n_shingles", F.col("id").alias("component_id"))
+        out = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("id"))
         return out.join(of, "id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
