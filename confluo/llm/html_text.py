@@ -26,7 +26,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import short_batches
 
-#: Bound on labelled pages for the fit, those of the lowest hashes of their url.
+#: Bound on labelled pages for the fit, those of the lowest hashes; equal pages count as one.
 SAMPLE_PAGES = 2_000
 
 # Element names of the HTML standard by their use.
@@ -206,7 +206,9 @@ def fit(pages: DataFrame, rows: int = SAMPLE_PAGES, html: str = "html") -> Weigh
             yield pd.DataFrame([(k[:64], i, n) for (k, i), n in total.items()], columns=["key", "inside", "n"])
 
     labelled = pages.where(F.col(html).rlike("(?i)<article")).select(F.col(html).alias("html"))
-    sample = labelled.orderBy(F.xxhash64("html")).limit(rows)
+    # Hashes alone are ordered; the pages up to the last one follow without an exchange.
+    last = labelled.select(F.xxhash64("html").alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    sample = labelled.where(F.xxhash64("html") <= F.lit(last)) if last is not None else labelled.limit(0)
     sums = sample.mapInPandas(counted, "key string, inside boolean, n long").groupBy("key", "inside").agg(F.sum("n").alias("n"))
     return weights({(r.key, r.inside): r.n for r in sums.orderBy(F.desc("n"), "key", "inside").limit(1000).collect()})
 

@@ -34,6 +34,8 @@ RATE = 0.1
 STREAMS = 4
 #: Words kept in a worker's memo, about 250 bytes each.
 MEMO_WORDS = 700_000
+#: Words whose agendas run together: few enough for their arrays to stay in a processor's cache.
+TOGETHER = 2_000
 #: Longer words run their agenda on a heap, one by one.
 LONG = 32
 
@@ -73,6 +75,8 @@ class Pieces:
         self.merge = found
         self.keys = np.array(sorted(found), dtype=np.int64)
         self.merged = np.array([found[k] for k in self.keys.tolist()], dtype=np.int32)
+        # Scores by rank, from 0; pieces of equal scores share one.
+        self.rank = np.unique(self.score, return_inverse=True)[1].astype(np.int32)
 
     def best_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Piece of each two neighbours, or -1."""
@@ -143,8 +147,6 @@ class Encoder(dict):
 
     def many(self, asked: list[tuple[int, str]]) -> None:
         """Encodes (stream, word) keys into the memo; words of like length run together."""
-        if len(self) + len(asked) > MEMO_WORDS:
-            self.clear()
         by_length: dict[int, list[tuple[int, str]]] = {}
         for k in asked:
             n = len(k[1])
@@ -153,8 +155,8 @@ class Encoder(dict):
             else:
                 by_length.setdefault(-(-n // 3) * 3, []).append(k)
         for n, keys in sorted(by_length.items()):
-            for at in range(0, len(keys), 20_000):
-                self._together(keys[at : at + 20_000], n)
+            for at in range(0, len(keys), TOGETHER):
+                self._together(keys[at : at + TOGETHER], n)
 
     def _together(self, keys: list[tuple[int, str]], n: int) -> None:
         p, rows = self.pieces, len(keys)
@@ -162,17 +164,17 @@ class Encoder(dict):
         for r, (_, w) in enumerate(keys):
             ids[r, : len(w)] = self._symbols(w)
         seeds = np.array([self._key(*k) for k in keys], dtype=np.uint64)
-        width = np.ones((rows, n + 1), dtype=np.int64)
+        width = np.ones((rows, n + 1), dtype=np.int32)
         merged = np.full((rows, n), -1, dtype=np.int32)
         merged[:] = p.best_of(ids[:, :-1], ids[:, 1:])
-        score = np.where(merged >= 0, p.score[merged], -np.inf)
+        score = np.where(merged >= 0, p.rank[merged], np.int32(-1))
         live, place = np.arange(rows), np.arange(n)
         out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * rows
         limit, m1, m2 = np.uint64(self.limit), np.uint64(_M1), np.uint64(_M2)
         while len(live):
             j = score.argmax(axis=1)
             r = np.arange(len(live))
-            on = score[r, j] > -np.inf
+            on = score[r, j] >= 0
             if not on.all():
                 for k in np.flatnonzero(~on):
                     out[live[k]] = (ids[k], width[k])
@@ -188,7 +190,7 @@ class Encoder(dict):
                     x = (x ^ (x >> np.uint64(32))) * m2
                     x ^= x >> np.uint64(29)
                 skip = x < limit
-                score[r[skip], j[skip]] = -np.inf
+                score[r[skip], j[skip]] = -1
                 go = r[~skip]
             else:
                 go = r
@@ -204,14 +206,14 @@ class Encoder(dict):
             cand = np.minimum(source, n - 1)
             last = source > n - 1
             m, s = np.take_along_axis(merged[go], cand, axis=1), np.take_along_axis(score[go], cand, axis=1)
-            m[last], s[last] = -1, -np.inf
+            m[last], s[last] = -1, -1
             merged[go], score[go] = m, s
             ids[go, jj], width[go, jj] = to, w
             for side in (jj - 1, jj):
                 ok = side >= 0
                 g, q = go[ok], side[ok]
                 found = p.best_of(ids[g, q], ids[g, q + 1])
-                merged[g, q], score[g, q] = found, np.where(found >= 0, p.score[found], -np.inf)
+                merged[g, q], score[g, q] = found, np.where(found >= 0, p.rank[found], np.int32(-1))
         for k, (row, w) in zip(keys, out, strict=True):
             kept = row > -2
             got, widths = row[kept].tolist(), w[kept].tolist()
@@ -220,6 +222,8 @@ class Encoder(dict):
     def batch(self, items: list[tuple[int, str]]) -> list[bytes]:
         """Ids of whole texts, given with their streams."""
         words = [(s, _WORD(" " + t)) if t else (s, []) for s, t in items]
+        if len(self) > MEMO_WORDS:
+            self.clear()
         new = dict.fromkeys(k for s, ws in words for k in ((s, w) for w in ws) if k not in self)
         if new:
             self.many(list(new))

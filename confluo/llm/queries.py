@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, html_text, licenses, line_dedup, ngram_join, packing, quality
-from .common import table
+from . import cap_filters, dac, html_text, licenses, line_dedup, merge_dropout, ngram_join, packing, quality, shards
+from .common import scratch_path, table
 from .encoder import vocabulary
 
 
@@ -17,6 +17,21 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_digest(written)
 
 
+#: Rows of a small shard, and the shares of documents that arrive together, in eighths.
+ARRIVAL_ROWS, ARRIVALS = 2_000, ((0, 4), (4, 6), (6, 8))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = shards.Store(spark, scratch_path(spark, "store"))
+    eighth = F.pmod(F.xxhash64(docs["doc_id"]), F.lit(8))
+    for lo, hi in ARRIVALS:
+        store.append(docs.where((eighth >= lo) & (eighth < hi)), rows_per_shard=ARRIVAL_ROWS)
+    done = store.compact()
+    rows = store.read().select("doc_id", F.length("text").cast("long").alias("text_chars"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), F.col("_metadata.file_name").alias("file_name"))
+    return rows.join(F.broadcast(store.listed().select("file_name", "shard", F.col("n_bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"))), "file_name").select("doc_id", "text_chars", "text_crc32", "shard", "shard_bytes", "shard_rows", F.lit(done.version).cast("long").alias("version"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -36,6 +51,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule").cast("int"))
 
 
+def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     out = html_text.with_text(pages, html_text.fit(pages))
@@ -51,10 +74,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_sharding": op2_sharding,
     "op3_license_scan": op3_license_scan,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_cap_filters": op7_cap_filters,
+    "op8_merge_dropout": op8_merge_dropout,
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
 }
