@@ -155,14 +155,13 @@ def common_counts(arrays: list[np.ndarray]) -> np.ndarray:
 
 
 def _compared(percent: int, exact: bool):
-    """Rows (task, id, n, c, state, items), sorted by task, as links (exact) or as the rows with a possible partner."""
+    """Rows (task, id, n, c, state, rest, items), sorted by task, as links (exact) or as the rows with a possible partner."""
 
     def group(task: int, rows: list[tuple]) -> list[tuple[int, int]]:
-        ids, n, c, state = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
-        both = common_counts([r[4] for r in rows])
+        ids, n, c, state, rest = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(5))
+        both = common_counts([r[5] for r in rows])
         nn = n[:, None] + n[None, :]
         if not exact:
-            rest = n - np.array([len(r[4]) for r in rows], dtype=np.int64)
             both = np.minimum(np.minimum(n[:, None], n[None, :]), both + np.maximum(rest[:, None], rest[None, :]))
         ok = 100 * both >= percent * (nn - both)
         ok &= c[:, None] != c[None, :]
@@ -195,8 +194,8 @@ def _compared(percent: int, exact: bool):
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names)
 
         for batch in batches:
-            tasks, columns = batch.column(0).to_pylist(), [batch.column(k).to_pylist() for k in range(1, 5)]
-            items, places = batch.column(5).flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(batch.column(5).value_lengths().to_numpy(zero_copy_only=False))]
+            tasks, columns = batch.column(0).to_pylist(), [batch.column(k).to_pylist() for k in range(1, 6)]
+            items, places = batch.column(6).flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(batch.column(6).value_lengths().to_numpy(zero_copy_only=False))]
             for k, task in enumerate(tasks):
                 if task != now:
                     if len(held) > 1:
@@ -226,19 +225,17 @@ class _Join:
         classes = full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("members"), F.countDistinct("doc_id").alias("ids"))
         self.classes, _ = saved(classes.where("members > 1"), "classes")
         copies = full.join(self.classes, "digest").where("doc_id <> id").select("doc_id").distinct()
-        self.sets = full.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", F.concat("light", "heavy").alias("first"), "light", "heavy")
+        self.firsts = full.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "light", "heavy")
 
     # Similarities -------------------------------------------------------------------------------------------------
 
     def measured(self, pairs: DataFrame) -> tuple[DataFrame, list[str]]:
         """pairs (a, b) as (a, b, linked, near): near where a bound leaves d <= 2 r possible. Far pairs have no row."""
         p, reach = self.percent, 2 * self.percent - 100
-        x = self.sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa"))
-        y = self.sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb"))
-        pairs = pairs.select("a", "b", F.least("a", "b").alias("_lo")).distinct()
+        x = self.shared.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("items").alias("ia"))
+        y = self.shared.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("items").alias("ib"))
         sized = pairs.join(x, "a").join(y, "b").where(f"100 * least(na, nb) >= {reach} * greatest(na, nb)")
-        shared = F.size(F.array_intersect("fa", "fb"))
-        most = F.least("na", "nb", shared + F.greatest(F.col("na") - F.size("fa"), F.col("nb") - F.size("fb")))
+        most = F.least("na", "nb", F.size(F.array_intersect("ia", "ib")) + F.greatest("ra", "rb"))
         bounded = sized.select("a", "b", "na", "nb", most.alias("most")).where(f"100 * most >= {reach} * (na + nb - most)")
         bounded, bounded_at = saved(bounded.withColumn("open", F.expr(f"100 * most >= {p} * (na + nb - most)")), "bounded")
         asked = bounded.where("open").select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -258,16 +255,24 @@ class _Join:
 
     # Regions ------------------------------------------------------------------------------------------------------
 
-    def regions(self) -> tuple[DataFrame, str]:
-        """Distinct (p, id): documents by their pivots."""
+    def regions(self) -> tuple[DataFrame, list[str]]:
+        """Distinct (p, id): documents by their pivots. Sets self.shared to what bounds need: (id, n, rest, items).
 
-        def of(rows: DataFrame) -> DataFrame:
+        Of the first shingles only those that another document has among its own can be common, so items has no others.
+        """
+
+        def of(column: str) -> DataFrame:
+            rows = self.firsts.select("id", F.explode(column).alias("shingle"))
             pivots = rows.groupBy("shingle").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p < last").select("shingle", "p")
-            return rows.join(pivots, "shingle").select("p", "id")
+            return rows.join(pivots, "shingle").select("p", "id", "shingle")
 
-        light = self.sets.select("id", F.explode("light").alias("shingle"))
-        heavy = self.sets.select("id", F.explode("heavy").alias("shingle"))
-        return saved(of(light).union(of(heavy)).distinct(), "regions")
+        met, met_at = saved(of("light").union(of("heavy")), "met")
+        items = met.groupBy("id").agg(F.collect_set("shingle").alias("items"))
+        sizes = self.firsts.select("id", F.col("n"), (F.col("n") - F.size("light") - F.size("heavy")).alias("rest"))
+        self.shared, shared_at = saved(items.join(sizes, "id").select("id", "n", "rest", "items"), "shared")
+        cells, at = saved(met.select("p", "id").distinct(), "regions")
+        dropped(self.spark, met_at)
+        return cells, [at, shared_at]
 
     def tasks(self, cells: DataFrame) -> DataFrame:
         """(task, id, c, state) for the pairs of blocks of each region of (p, id, c, state) that can hold a link."""
@@ -286,11 +291,11 @@ class _Join:
         return rows.select(F.explode(tasks).alias("task"), "id", "c", "state")
 
     def compared(self, rows: DataFrame, exact: bool) -> DataFrame:
-        rows = rows.select("task", "id", "n", "c", "state", "items").repartition("task").sortWithinPartitions("task")
+        rows = rows.select("task", "id", "n", "c", "state", "rest", "items").repartition("task").sortWithinPartitions("task")
         return rows.mapInArrow(_compared(self.percent, exact), "a long, b long" if exact else "task long, id long")
 
     def run(self) -> DataFrame:
-        regions, at = self.regions()
+        regions, made = self.regions()
         found, (found_at,) = self.measured(regions.where("p <> id").select(F.col("p").alias("a"), F.col("id").alias("b")))
         links = found.where("linked").select("a", "b")
         of, of_at = saved(connected(links), "components")
@@ -299,13 +304,13 @@ class _Join:
         cells = regions.join(known, ["p", "id"], "left").join(of, "id", "left").select("p", "id", F.coalesce("component_id", "id").alias("c"), state.alias("state"))
         cells, cells_at = saved(cells, "cells")
         tasks, tasks_at = saved(self.tasks(cells), "tasks")
-        first = tasks.join(self.sets.select("id", "n", F.col("first").alias("items")), "id")
+        first = tasks.join(self.shared, "id")
         open_rows, open_at = saved(self.compared(first, exact=False), "open")
         sets, sets_at = self.sets_of(open_rows.select("id").distinct())
-        whole = tasks.join(open_rows, ["task", "id"]).join(sets.select("id", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("items")), "id")
+        whole = tasks.join(open_rows, ["task", "id"]).join(sets.select("id", F.size("shingles").cast("long").alias("n"), F.lit(0).cast("long").alias("rest"), F.col("shingles").alias("items")), "id")
         more, more_at = saved(self.compared(whole, exact=True), "links")
         of = connected(links.union(more))
-        dropped(self.spark, at, found_at, of_at, cells_at, tasks_at, open_at, sets_at, more_at)
+        dropped(self.spark, *made, found_at, of_at, cells_at, tasks_at, open_at, sets_at, more_at)
         members = self.all.join(self.classes.select("digest", "id"), "digest", "left")
         out = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("id"))
         return out.join(of, "id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
