@@ -43,12 +43,12 @@ from .shingles import shingle_set
 WIDTH, PERCENT = 5, 80
 #: Shingles that are ordered last are at most so many: those that make up 1 / FREQUENT of all or more.
 FREQUENT = 2_000_000
-LEAST_FREQUENT = 32
+LEAST_FREQUENT = 12
 #: Documents of a block.
 BLOCK = 512
 CELL, RIM, BEYOND = 0, 1, 2
 #: Shingles counted together before a task's counts of LOCAL or more go out.
-FLUSH, LOCAL = 4_000_000, 4
+FLUSH, LOCAL = 4_000_000, 2
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -249,9 +249,9 @@ class _Join:
         return out, [out_at]
 
     def sets_of(self, asked: DataFrame) -> tuple[DataFrame, str]:
-        """(id, shingles) of the asked ids. A bucket table keeps texts that are not asked from being shuffled."""
+        """(id, shingles) of the asked ids and a few more: a bucket table picks them where they are read, without an exchange."""
         some = self.texts.where(maybe(table_of(asked, "id"), "id"))
-        return saved(some.mapInArrow(_sets(self.width), "id long, shingles array<long>").join(asked, "id", "left_semi"), "sets")
+        return saved(some.mapInArrow(_sets(self.width), "id long, shingles array<long>"), "sets")
 
     # Regions ------------------------------------------------------------------------------------------------------
 
