@@ -1,4 +1,440 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the entity-resolution engine, each over the whole derived records view."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import normalize
+from ..measure import bench, distribution, grey, metrics, truth
+from ..operators import blocking, closure, compare, decide, fusion, review, sizing
+from ..schema import ATTRIBUTES, ID
+from ..sources import records as source
+from . import oracles, pipeline
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+#: Source order for fusion.
+PRIORITY = ("SRC_A", "SRC_B", "SRC_C")
+BLOCK_CAP = 12
+
+
+def query(f: Query) -> Query:
+    """Registers a query under its name, with its SQL where there is one."""
+    QUERIES[f.__name__] = f
+    if f.__name__ in oracles.SQL:
+        ORACLE_SQL[f.__name__] = oracles.SQL[f.__name__]
+    return f
+
+
+# Building blocks -------------------------------------------------------------------------------------------------
+
+
+def _normalized(spark, sf_dir):
+    return normalize(source.records(spark, sf_dir))
+
+
+def _pairs(spark, sf_dir):
+    return blocking.candidate_pairs(blocking.block_keys(_normalized(spark, sf_dir)))
+
+
+def _levels(spark, sf_dir):
+    return pipeline.levels_of(source.records(spark, sf_dir))[1]
+
+
+def _decided(spark, sf_dir):
+    """Decisions by the prior weights, which SQL can repeat."""
+    return decide.decisions(_levels(spark, sf_dir), decide.priors().weights())
+
+
+def _true(spark, sf_dir):
+    return truth.true_pairs(source.truth(spark, sf_dir))
+
+
+def _rows(spark, sf_dir):
+    return metrics.classified(_decided(spark, sf_dir), _true(spark, sf_dir))
+
+
+def _cells(spark, sf_dir):
+    return metrics.contingency(_decided(spark, sf_dir), _true(spark, sf_dir))
+
+
+def _links(spark, sf_dir):
+    return closure.edges(_decided(spark, sf_dir).where("verdict = 'MATCH'"))
+
+
+def _parts(spark, sf_dir):
+    return closure.entities(_links(spark, sf_dir), source.records(spark, sf_dir))
+
+
+def _votes(spark, sf_dir):
+    return fusion.ballots(source.records(spark, sf_dir), _parts(spark, sf_dir), PRIORITY)
+
+
+def _valued(spark, sf_dir):
+    return compare.with_values(_pairs(spark, sf_dir), _normalized(spark, sf_dir))
+
+
+# Sources, normalisation, blocking --------------------------------------------------------------------------------
+
+
+@query
+def records_view(spark, sf_dir):
+    return source.derived(spark, sf_dir)
+
+
+@query
+def normalized_records(spark, sf_dir):
+    return _normalized(spark, sf_dir)
+
+
+@query
+def generated_population(spark, sf_dir):
+    out = source.generated(spark, "confluo", 400)
+    return out.withColumn("corruptions", F.array_join("corruptions", ","))
+
+
+@query
+def block_keys(spark, sf_dir):
+    return blocking.block_keys(_normalized(spark, sf_dir))
+
+
+@query
+def soundex_keys(spark, sf_dir):
+    return blocking.block_keys(_normalized(spark, sf_dir), ("SDX_NAME",))
+
+
+@query
+def candidate_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).withColumn("block_origin", F.array_join("block_origin", ","))
+
+
+@query
+def block_stats(spark, sf_dir):
+    return blocking.pair_bound(blocking.block_keys(_normalized(spark, sf_dir)))
+
+
+@query
+def capped_blocks(spark, sf_dir):
+    return blocking.dropped_blocks(blocking.block_keys(_normalized(spark, sf_dir)), BLOCK_CAP)
+
+
+@query
+def capped_pairs(spark, sf_dir):
+    return blocking.candidate_pairs(blocking.block_keys(_normalized(spark, sf_dir)), BLOCK_CAP).select("a", "b")
+
+
+@query
+def linker_rule_pairs(spark, sf_dir):
+    pairs = blocking.candidate_pairs(blocking.block_keys(_normalized(spark, sf_dir), ("NAMES", "EMAIL", "PHONE")))
+    return pairs.select("a", "b", F.size("block_origin").cast("long").alias("n_rules"))
+
+
+@query
+def comparison_cost(spark, sf_dir):
+    return blocking.comparison_cost(_normalized(spark, sf_dir), ATTRIBUTES, 1_000)
+
+
+# Comparison, decision, sizing ------------------------------------------------------------------------------------
+
+
+@query
+def similarities(spark, sf_dir):
+    pairs, n = _pairs(spark, sf_dir), _normalized(spark, sf_dir)
+    return compare.similarities(pairs, n).drop("block_origin")
+
+
+@query
+def agreement_levels(spark, sf_dir):
+    return _levels(spark, sf_dir).select("a", "b", *(f"lvl_{x}" for x in ATTRIBUTES))
+
+
+@query
+def profile_counts(spark, sf_dir):
+    return decide.profiles(_levels(spark, sf_dir))
+
+
+@query
+def em_weights(spark, sf_dir):
+    return decide.weight_table(spark, decide.fit(_levels(spark, sf_dir)).weights())
+
+
+@query
+def fixed_weight_decisions(spark, sf_dir):
+    return _decided(spark, sf_dir).select("a", "b", "match_weight", F.col("n_informative").cast("long"), "verdict", "guarded", "review")
+
+
+@query
+def field_weights(spark, sf_dir):
+    return _decided(spark, sf_dir).select("a", "b", *(F.round(f"w_{x}", 9).alias(f"w_{x}") for x in ATTRIBUTES))
+
+
+@query
+def verdict_histogram(spark, sf_dir):
+    return decide.histogram(_decided(spark, sf_dir))
+
+
+@query
+def score_stats(spark, sf_dir):
+    return sizing.statistics(_decided(spark, sf_dir))
+
+
+@query
+def sized_thresholds(spark, sf_dir):
+    return sizing.sized(_decided(spark, sf_dir))
+
+
+@query
+def sized_decisions(spark, sf_dir):
+    run = pipeline.engine(source.records(spark, sf_dir))
+    t = sizing.thresholds(run.decisions)
+    return decide.decisions(run.levels, run.estimate.weights(), t.upper, t.lower).select("a", "b", "match_weight", "verdict")
+
+
+# Review, closure, fusion -----------------------------------------------------------------------------------------
+
+
+@query
+def review_queue(spark, sf_dir):
+    return review.ranked(_decided(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
+
+
+def _answers(keys: DataFrame) -> DataFrame:
+    """A replay of answers for three quarters of the keys."""
+    first = F.substring("key", 1, 1)
+    answer = F.when(first.isin(*"01234"), "Same person.\nMATCH").when(first.isin(*"56789"), "NON_MATCH").when(first.isin("a", "b"), "MATCH\nNON_MATCH")
+    return keys.select("key", answer.alias("answer")).where("answer IS NOT NULL")
+
+
+@query
+def review_outcome(spark, sf_dir):
+    decided, n = _decided(spark, sf_dir), _normalized(spark, sf_dir)
+    keys = review.payload(decided.where("verdict = 'GREY'").select("a", "b"), n)
+    out = review.reviewed(decided, keys, _answers(keys), 300)
+    return out.select("a", "b", "verdict", "status", "review_decision", "reason")
+
+
+@query
+def link_edges(spark, sf_dir):
+    return _links(spark, sf_dir)
+
+
+@query
+def entities(spark, sf_dir):
+    return _parts(spark, sf_dir)
+
+
+@query
+def closure_coverage(spark, sf_dir):
+    return closure.coverage(_parts(spark, sf_dir), _links(spark, sf_dir))
+
+
+@query
+def ballots(spark, sf_dir):
+    return _votes(spark, sf_dir)
+
+
+@query
+def fusion_decisions(spark, sf_dir):
+    return fusion.arbitrated(_votes(spark, sf_dir)).select("entity_id", "attribute", "norm", "raw_form", "origin", "n_values", "rule", "abstained", "majority_gap")
+
+
+@query
+def fused_records(spark, sf_dir):
+    """Golden records of the entities that the prior weights give."""
+    parts = _parts(spark, sf_dir)
+    winners = fusion.arbitrated(fusion.ballots(source.records(spark, sf_dir), parts, PRIORITY))
+    return fusion.golden_records(source.records(spark, sf_dir), parts, winners)
+
+
+@query
+def completeness_first(spark, sf_dir):
+    out = fusion.arbitrated(_votes(spark, sf_dir), ("COMPLETENESS", "SOURCE_PRIORITY", "CANONICAL"))
+    return out.select("entity_id", "attribute", "norm", "rule")
+
+
+@query
+def discarded_values(spark, sf_dir):
+    votes = _votes(spark, sf_dir)
+    return fusion.discarded(votes, fusion.arbitrated(votes))
+
+
+@query
+def golden_records(spark, sf_dir):
+    """The whole chain with estimated weights and sized thresholds."""
+    return pipeline.chain(source.records(spark, sf_dir), priority=PRIORITY).golden
+
+
+# Measurement -----------------------------------------------------------------------------------------------------
+
+
+@query
+def truth_pairs(spark, sf_dir):
+    return _true(spark, sf_dir)
+
+
+@query
+def truth_stats(spark, sf_dir):
+    return truth.statistics(source.truth(spark, sf_dir))
+
+
+@query
+def decision_defects(spark, sf_dir):
+    return truth.defects(_decided(spark, sf_dir))
+
+
+@query
+def blocking_quality(spark, sf_dir):
+    n = source.records(spark, sf_dir).count()
+    return truth.blocking_quality(_pairs(spark, sf_dir), _true(spark, sf_dir), n)
+
+
+@query
+def pass_contribution(spark, sf_dir):
+    return truth.pass_contribution(_pairs(spark, sf_dir), _true(spark, sf_dir))
+
+
+@query
+def lost_pairs(spark, sf_dir):
+    return truth.lost_pairs(_pairs(spark, sf_dir), _true(spark, sf_dir))
+
+
+@query
+def contingency(spark, sf_dir):
+    return _cells(spark, sf_dir)
+
+
+@query
+def pair_metrics(spark, sf_dir):
+    return metrics.measures(_cells(spark, sf_dir))
+
+
+@query
+def abstention_metrics(spark, sf_dir):
+    return metrics.under_abstention(_cells(spark, sf_dir))
+
+
+@query
+def recall_parts(spark, sf_dir):
+    return metrics.recall_parts(_cells(spark, sf_dir))
+
+
+@query
+def fn_causes(spark, sf_dir):
+    return metrics.fn_causes(_decided(spark, sf_dir), _true(spark, sf_dir))
+
+
+@query
+def fn_top(spark, sf_dir):
+    return metrics.fn_top(_decided(spark, sf_dir), _true(spark, sf_dir))
+
+
+@query
+def fp_top(spark, sf_dir):
+    return metrics.fp_top(_decided(spark, sf_dir), _true(spark, sf_dir))
+
+
+@query
+def score_descriptors(spark, sf_dir):
+    return distribution.descriptors(_rows(spark, sf_dir))
+
+
+@query
+def score_histogram(spark, sf_dir):
+    return distribution.histogram(_rows(spark, sf_dir))
+
+
+@query
+def auc(spark, sf_dir):
+    return distribution.auc(_rows(spark, sf_dir))
+
+
+@query
+def threshold_sweep(spark, sf_dir):
+    return distribution.sweep(_rows(spark, sf_dir)).withColumn("threshold", F.round("threshold", 9))
+
+
+@query
+def best_threshold(spark, sf_dir):
+    return distribution.best_threshold(_rows(spark, sf_dir))
+
+
+@query
+def average_precision(spark, sf_dir):
+    return distribution.average_precision(_rows(spark, sf_dir))
+
+
+@query
+def kolmogorov_smirnov(spark, sf_dir):
+    return distribution.kolmogorov_smirnov(_rows(spark, sf_dir))
+
+
+@query
+def overlap(spark, sf_dir):
+    return distribution.overlap(_rows(spark, sf_dir))
+
+
+@query
+def separation_margin(spark, sf_dir):
+    return distribution.margin(_rows(spark, sf_dir))
+
+
+@query
+def bayes_floor(spark, sf_dir):
+    return distribution.bayes_floor(_rows(spark, sf_dir))
+
+
+@query
+def grey_composition(spark, sf_dir):
+    return grey.composition(_rows(spark, sf_dir))
+
+
+@query
+def grey_profiles(spark, sf_dir):
+    return grey.profiles(_rows(spark, sf_dir), ATTRIBUTES)
+
+
+@query
+def doubt_bounds(spark, sf_dir):
+    return grey.bounds_of_doubt(_cells(spark, sf_dir))
+
+
+@query
+def entity_split(spark, sf_dir):
+    t = source.truth(spark, sf_dir)
+    return t.select(ID, grey.fold_of(F.col("true_entity")).alias("fold"))
+
+
+@query
+def fold_counts(spark, sf_dir):
+    return grey.fold_counts(grey.split_pairs(_rows(spark, sf_dir), source.truth(spark, sf_dir)))
+
+
+# Baselines -------------------------------------------------------------------------------------------------------
+
+
+def _baseline(name: str) -> Query:
+    def run(spark, sf_dir):
+        return bench.scored(_valued(spark, sf_dir), name)
+
+    run.__name__ = f"baseline_{name}"
+    return query(run)
+
+
+for _name in bench.BASELINES:
+    _baseline(_name)
+
+
+@query
+def equal_volume_point(spark, sf_dir):
+    return bench.equal_volume(_decided(spark, sf_dir), 500)
+
+
+@query
+def mcnemar_counts(spark, sf_dir):
+    decided, valued = _decided(spark, sf_dir), _valued(spark, sf_dir)
+    other = bench.scored(valued, "strong_key").where("verdict = 'MATCH'")
+    return metrics.mcnemar(decided.where("verdict = 'MATCH'"), other, decided, _true(spark, sf_dir))
