@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -47,23 +47,35 @@ def jaro_winkler(a: str, b: str, bonus: float = 0.1, longest: int = 4, above: fl
     return s + p * bonus * (1 - s)
 
 
-def jaro_winkler_column(a: Column, b: Column) -> Column:
-    """The kernel over Arrow batches; a batch's equal value pairs are computed once."""
+#: Value pairs kept in a worker's memo.
+MEMO_PAIRS = 500_000
+_MEMO: dict[tuple[str, str], float] = {}
 
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        seen: dict[tuple[str, str], float] = {}
-        out = []
-        for k in zip(x, y, strict=True):
-            if k[0] is None or k[1] is None:
-                out.append(None)
-                continue
-            if k not in seen:
-                seen[k] = jaro_winkler(*k)
-            out.append(seen[k])
-        return pd.Series(out, dtype="float64")
 
-    run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
-    return pandas_udf(run, "double")(a, b)
+def _remembered(a: str | None, b: str | None) -> float | None:
+    if a is None or b is None:
+        return None
+    if a == b:
+        return 1.0
+    found = _MEMO.get((a, b))
+    if found is None:
+        if len(_MEMO) >= MEMO_PAIRS:
+            _MEMO.clear()
+        found = _MEMO[a, b] = jaro_winkler(a, b)
+    return found
+
+
+def jaro_winkler_columns(pairs: list[tuple[Column, Column]]) -> Column:
+    """The kernel for several value pairs of a row in one pass over Arrow batches: a struct of doubles s0, s1 and so on."""
+
+    n = len(pairs)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({f"s{k}": pd.Series([_remembered(x, y) for x, y in zip(rows[f"x{k}"], rows[f"y{k}"], strict=True)], dtype="float64") for k in range(n)})
+
+    run.__annotations__ = {"rows": pd.DataFrame, "return": pd.DataFrame}
+    values = F.struct(*[c.alias(f"{n}{k}") for k, xy in enumerate(pairs) for n, c in zip("xy", xy, strict=True)])
+    return pandas_udf(run, ", ".join(f"s{k} double" for k in range(len(pairs))))(values)
 
 
 def _grams(x: Column) -> Column:
@@ -112,13 +124,3 @@ def bounded(x: Column) -> Column:
 
 def level(sim: Column, strong: float = STRONG_FROM, partial: float = PARTIAL_FROM) -> Column:
     return F.when(sim.isNull(), MISSING).when(sim >= strong, STRONG).when(sim >= partial, PARTIAL).otherwise(DISAGREE)
-
-
-def by_kernel(pairs: DataFrame, attribute: str, out: str) -> DataFrame:
-    """Adds the Jaro-Winkler similarity of <attribute>_a and <attribute>_b, computed once for each distinct pair of different values."""
-    a, b = f"{attribute}_a", f"{attribute}_b"
-    distinct = pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("_x"), F.greatest(a, b).alias("_y")).distinct()
-    values = distinct.withColumn("_s", jaro_winkler_column(F.col("_x"), F.col("_y")))
-    joined = pairs.withColumn("_x", F.least(a, b)).withColumn("_y", F.greatest(a, b)).join(values, ["_x", "_y"], "left")
-    known = F.col(a).isNotNull() & F.col(b).isNotNull()
-    return joined.withColumn(out, F.when(known, F.when(F.col(a) == F.col(b), 1.0).otherwise(F.col("_s")))).drop("_x", "_y", "_s")

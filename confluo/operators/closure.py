@@ -11,8 +11,9 @@ from .graph import connected
 
 def edges(pairs: DataFrame) -> DataFrame:
     """Distinct (a, b) with a < b; a pair of a record with itself raises."""
-    checked = pairs.select(F.when(F.col("a") == F.col("b"), F.raise_error(F.lit("a pair links a record with itself"))).otherwise(F.least("a", "b")).alias("a"), F.greatest("a", "b").alias("b"))
-    return checked.distinct()
+    same = F.raise_error(F.lit("a pair links a record with itself")).cast("boolean")
+    checked = pairs.where(F.when(F.col("a") == F.col("b"), same).otherwise(F.lit(True)))
+    return checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def entities(links: DataFrame, universe: DataFrame) -> DataFrame:

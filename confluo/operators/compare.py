@@ -20,12 +20,12 @@ def with_values(pairs: DataFrame, normalized: DataFrame) -> DataFrame:
 def similarities(pairs: DataFrame, normalized: DataFrame) -> DataFrame:
     """(a, b, block_origin, sim_<attribute>...)."""
     wide = with_values(pairs, normalized)
-    for x in S.BY_KERNEL:
-        wide = S.by_kernel(wide, x, f"_{x}")
     side = lambda x: (F.col(f"{x}_a"), F.col(f"{x}_b"))
-    odd = F.when(~side("birth_date")[0].rlike(S.ISO) | ~side("birth_date")[1].rlike(S.ISO), S.jaro_winkler_column(*side("birth_date")))
-    raw = {x: F.col(f"_{x}") for x in S.BY_KERNEL} | {
-        "birth_date": S.date(*side("birth_date"), odd),
+    # One pass through Python for names, cities and dates that are no dates; null asks for nothing.
+    dates = [F.when(~F.col("birth_date_a").rlike(S.ISO) | ~F.col("birth_date_b").rlike(S.ISO), c) for c in side("birth_date")]
+    wide = wide.withColumn("_k", S.jaro_winkler_columns([*(side(x) for x in S.BY_KERNEL), tuple(dates)]))
+    raw = {x: F.col(f"_k.s{k}") for k, x in enumerate(S.BY_KERNEL)} | {
+        "birth_date": S.date(*side("birth_date"), F.col(f"_k.s{len(S.BY_KERNEL)}")),
         "address": S.dice(*side("address")),
         "postal_code": S.postal(*side("postal_code")),
         "email": S.mail(*side("email")),
