@@ -9,11 +9,15 @@ from ..schema import ID
 from .graph import connected
 
 
+def check_pairs(pairs: DataFrame) -> None:
+    """Raises if a pair links a record with itself."""
+    if pairs.where("a = b").take(1):
+        raise ValueError("a pair links a record with itself")
+
+
 def edges(pairs: DataFrame) -> DataFrame:
-    """Distinct (a, b) with a < b; a pair of a record with itself raises."""
-    same = F.raise_error(F.lit("a pair links a record with itself")).cast("boolean")
-    checked = pairs.where(F.when(F.col("a") == F.col("b"), same).otherwise(F.lit(True)))
-    return checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Distinct (a, b) with a < b."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def entities(links: DataFrame, universe: DataFrame) -> DataFrame:

@@ -114,6 +114,7 @@ def chain(records: DataFrame, point: OperatingPoint | None = None, answers: Data
     decided = decide.decisions(run.levels, run.estimate.weights(), point.t_upper, point.t_lower)
     grey = decided.where("verdict = 'GREY'").select("a", "b")
     decided, _ = saved(review.reviewed(decided, review.payload(grey, run.normalized), answers, budget), "decisions")
+    closure.check_pairs(decided)
     links = closure.edges(review.match_set(decided))
     parts, _ = saved(closure.entities(links, records), "entities")
     winners = fusion.arbitrated(fusion.ballots(records, parts, priority), policy)
