@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: One byte for each hash bucket; the table goes out as a literal, so its size never grows with the data.
+#: One bit for each hash bucket; the table goes out as a literal of 32 KB, so its size never grows with the data.
 BUCKETS = 1 << 18
 
 
 def bucket(*keys: Column | str) -> Column:
-    return F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(BUCKETS))
+    return F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(BUCKETS)).cast("int")
 
 
 def table_of(rows: DataFrame, *keys: str) -> bytearray:
     """Marks the buckets of the rows' keys; the driver gets bucket numbers alone, at most BUCKETS."""
-    out = bytearray(BUCKETS)
-    for r in rows.select(bucket(*keys).cast("int").alias("k")).distinct().toLocalIterator():
-        out[r.k] = 1
+    out = bytearray(BUCKETS // 8)
+    for r in rows.select(bucket(*keys).alias("k")).distinct().toLocalIterator():
+        out[r.k >> 3] |= 1 << (r.k & 7)
     return out
 
 
 def maybe(table: bytearray, *keys: Column | str) -> Column:
     """False only where no marked row has these keys."""
-    return F.substring(F.lit(table), (bucket(*keys) + 1).cast("int"), F.lit(1)) == F.lit(bytearray(b"\x01"))
+    b = bucket(*keys)
+    byte = F.conv(F.hex(F.substring(F.lit(table), F.floor(b / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(b, F.lit(8))) == 1
