@@ -1,17 +1,18 @@
 """Embedding near-dedup by spherical-cap filters.
 
-Directions come from a random product code: the space is cut into PARTS blocks, each block has a small random codebook of
-unit vectors, and every combination of code words is a filter direction; TABLES codes differ in a random rotation. A vector passes a filter if its inner product
+Directions come from a random product code: the space is cut into PARTS blocks (one in fewer than WHOLE dimensions), each
+block has a random codebook of unit vectors, and every combination of code words is a filter direction; TABLES codes differ in a random rotation. A vector passes a filter if its inner product
 with the direction exceeds a threshold; list decoding finds all of them from the blocks' scores alone, since a sum of
 two halves is above the threshold only where one half leaves the other enough. Close vectors pass common filters, so
 vectors are joined on filters, and cosines in double precision verify what meets.
 
-The threshold gives a vector EXPECTED filters of each code on average, and the codebooks grow with the number of vectors, so filters
-hold a like number of vectors at every size; a vector's filters follow from its direction alone. Filters of more than
+The threshold gives two vectors at the wanted cosine COMMON filters in common on average, by the exact distribution of a
+random direction in their dimension, so the share of links found does not depend on the number of vectors. The codebooks
+grow with that number, so filters hold few vectors at every size; a vector's filters follow from its direction alone. Filters of more than
 BLOCK vectors are cut into blocks that meet pair by pair. A pair counts in the first filter that both its vectors pass.
 Links are not given out: a task gives for its vectors the number of links, and a spanning forest of the links.
 
-The search can miss pairs whose caps have no common filter; RECALL_NOTE in the README has the measured recall.
+The search can miss pairs whose caps have no common filter; the README has the measured recall.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors
 of different dimension do not link; rows that repeat both vec_id and vector count once; a null vec_id is dropped from
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +33,46 @@ from .common import dropped, saved, short_batches
 from .components import connected
 from .ngram_join import common_counts
 
-PARTS, TABLES = 2, 3
-EXPECTED = 12.0
-#: Code words of a block: as many as make the filters as many as the vectors, within these.
-LEAST_WORDS, MOST_WORDS = 64, 4096
+PARTS, TABLES = 2, 12
+#: Below this dimension a code has one block, of at most ONE_BLOCK words: blocks of few dimensions have too few directions.
+WHOLE, ONE_BLOCK = 16, 8192
+COMMON = 14.0
+#: Code words of a block: as many as make the filters of all codes three times the vectors, within these.
+LEAST_WORDS, MOST_WORDS = 32, 4096
 BLOCK = 512
 COSINE = 0.9
 
 
+def both_pass(least: float, dim: int, cosine: float) -> float:
+    """Probability that a random direction has an inner product of at least ``least`` with two unit vectors at that cosine."""
+    half = math.acos(max(-1.0, min(1.0, cosine))) / 2
+    if dim <= 2:
+        return max(0.0, math.acos(least) - half) / math.pi
+    # The squared length r^2 of the direction's part in the vectors' plane has P(r^2 > s) = (1 - s)^((dim - 2) / 2).
+    power = (dim - 2) / 2
+    tail = power * math.log1p(-least * least) + np.linspace(-60.0, 0.0, 20_001)
+    r = np.sqrt(np.maximum(-np.expm1(tail / power), least * least))
+    angle = np.clip(np.arccos(np.minimum(1.0, np.divide(least, r, out=np.zeros_like(r), where=r > 0))) - half, 0.0, None)
+    return float(np.trapezoid(angle, np.exp(tail))) / math.pi
+
+
+def threshold(dim: int, filters: float, cosine: float, common: float = COMMON) -> float:
+    """The threshold at which two unit vectors at that cosine pass ``common`` of the filters together, on average."""
+    lo, hi = 0.0, 1.0 - 1e-12
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if filters * both_pass(mid, dim, cosine) > common else (lo, mid)
+    return lo
+
+
 class Code:
     """The product code of a dimension."""
 
-    def __init__(self, dim: int, words: int, seed: int = 0, expected: float = EXPECTED):
+    def __init__(self, dim: int, words: int, seed: int = 0, cosine: float = COSINE, common: float = COMMON):
         rng = np.random.default_rng([seed, dim, words])
-        self.cuts = [x for x in np.array_split(np.arange(dim), PARTS) if len(x)]
+        self.cuts = np.array_split(np.arange(dim), PARTS if dim >= WHOLE else 1)
+        if len(self.cuts) == 1:
+            words = min(ONE_BLOCK if dim > 1 else 4, words * words)
         self.words = words
         turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.turn = turn
@@ -54,16 +80,14 @@ class Code:
         for cut in self.cuts:
             book = rng.standard_normal((words, len(cut)))
             self.books.append(book / np.linalg.norm(book, axis=1, keepdims=True) * math.sqrt(len(cut) / dim))
-        total = float(words) ** len(self.cuts)
-        share = min(0.5, expected / total)
-        self.least = NormalDist().inv_cdf(1 - share) / math.sqrt(dim)
+        self.least = threshold(dim, TABLES * float(words) ** len(self.cuts), cosine, common)
 
     def filters(self, unit: np.ndarray) -> list[np.ndarray]:
         """Numbers of all filters that each of the unit vectors passes, ascending."""
         x = unit @ self.turn
         sums = [x[:, cut] @ book.T for cut, book in zip(self.cuts, self.books, strict=True)]
         half = (len(sums) + 1) // 2
-        left, right = _all_sums(sums[:half]), _all_sums(sums[half:])
+        left, right = _all_sums(sums[:half]), _all_sums(sums[half:]) if sums[half:] else np.zeros((len(x), 1))
         out = []
         most = right.max(axis=1)
         for k in range(len(x)):
@@ -74,8 +98,6 @@ class Code:
 
 
 def _all_sums(parts: list[np.ndarray]) -> np.ndarray:
-    if not parts:
-        return np.zeros((1, 1))
     out = parts[0]
     for p in parts[1:]:
         out = (out[:, :, None] + p[:, None, :]).reshape(len(out), -1)
@@ -91,7 +113,7 @@ def _code(*key) -> Code:
     return _CODES[key]
 
 
-def _decoded(words: int, seed: int, expected: float):
+def _decoded(words: int, seed: int, cosine: float, common: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -106,7 +128,7 @@ def _decoded(words: int, seed: int, expected: float):
                 if not ks:
                     continue
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                tables = [_code(dim, words, seed * TABLES + t, expected).filters(unit) for t in range(TABLES)]
+                tables = [_code(dim, words, seed * TABLES + t, cosine, common).filters(unit) for t in range(TABLES)]
                 found = [np.concatenate([f + (t << 40) for t, f in enumerate(fs)]) for fs in zip(*tables, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[k] for k in ks], pa.int64()), pa.array([dim] * len(ks), pa.int32()), pa.array(list(unit), pa.list_(pa.float64())), pa.array(found, pa.list_(pa.int64()))], ["vec_id", "dim", "unit", "filters"]
@@ -172,14 +194,14 @@ def _verified(cosine: float):
     return run
 
 
-def near_links(vectors: DataFrame, cosine: float = COSINE, seed: int = 0, expected: float = EXPECTED, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
+def near_links(vectors: DataFrame, cosine: float = COSINE, seed: int = 0, common: float = COMMON, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """(vec_id, n_links) of vectors with links, and (a, b): links that hold each component together."""
     short_batches(vectors.sparkSession)
     n = vectors.count()
-    words = min(MOST_WORDS, max(LEAST_WORDS, math.ceil(math.sqrt(n))))
+    words = min(MOST_WORDS, max(LEAST_WORDS, math.ceil(math.sqrt(3 * n / TABLES))))
     e = vectors[embedding].cast("array<double>")
     rows = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), e.alias("e")).where("vec_id IS NOT NULL AND size(e) > 0 AND NOT exists(e, x -> x IS NULL OR isnan(x))").distinct()
-    decoded, decoded_at = saved(rows.mapInArrow(_decoded(words, seed, expected), "vec_id long, dim int, unit array<double>, filters array<long>"), "filters")
+    decoded, decoded_at = saved(rows.mapInArrow(_decoded(words, seed, cosine, common), "vec_id long, dim int, unit array<double>, filters array<long>"), "filters")
     passed = decoded.select("vec_id", "dim", F.explode("filters").alias("filter"))
     sizes = passed.groupBy("dim", "filter").agg(F.count("*").alias("m")).where("m > 1").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
     met = passed.join(sizes, ["dim", "filter"]).withColumn("side", F.expr("cast(pmod(xxhash64(vec_id), nb) as int)"))

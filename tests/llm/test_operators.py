@@ -135,6 +135,22 @@ def test_cap_filters(spark):
     assert all(out[k].n_links == 0 and out[k].kept for k in (100, 101, 102, 103))
 
 
+@pytest.mark.parametrize("dim, words", [(64, 32), (64, 256), (64, 1024), (64, 4096), (24, 256), (8, 256), (3, 64), (2, 64)])
+def test_cap_filters_recall_at_every_size(dim, words):
+    """Pairs at a cosine of just 0.9 have a common filter, whatever the number of vectors that sets the code words."""
+    rng = np.random.default_rng([dim, words])
+    x = rng.standard_normal((200, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((200, dim))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    hit = np.zeros(200, dtype=bool)
+    for t in range(cap_filters.TABLES):
+        code = cap_filters.Code(dim, words, t)
+        hit |= [len(np.intersect1d(a, b)) > 0 for a, b in zip(code.filters(x), code.filters(y), strict=True)]
+    assert hit.mean() >= 0.97
+
+
 def test_merge_dropout():
     import sentencepiece
 
