@@ -122,6 +122,18 @@ def test_line_dedup(spark):
     assert out == {0: (texts[0], 0), 1: ("short\nsomething else entirely is written in this line", 1), 2: ("", 1), 3: (None, 0), 4: ("", 0)}
 
 
+def test_line_dedup_joins_families(spark, monkeypatch):
+    """Variants of one line, each with one other word replaced, link to the base and hardly to each other."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4, raising=False)
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5))
+    base = [word() for _ in range(40)]
+    lines = [" ".join(base)] + [" ".join([*base[:k], word(), word(), word(), *base[k + 3 :]]) for k in range(0, 38)]
+    other = " ".join(word() for _ in range(40))
+    out = {r.doc_id: r.gone for r in line_dedup.dedup(docs_of(spark, [*lines, other]), removed="gone").collect()}
+    assert [k for k in out if not out[k]] == [0, len(lines)]
+
+
 def test_cap_filters(spark):
     rng = np.random.default_rng(5)
     center = rng.standard_normal((3, 32))
