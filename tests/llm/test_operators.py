@@ -134,6 +134,14 @@ def test_line_dedup_joins_families(spark, monkeypatch):
     assert [k for k in out if not out[k]] == [0, len(lines)]
 
 
+@pytest.mark.parametrize("length", [50, 60])
+def test_line_dedup_finds_a_changed_letter(spark, length):
+    line = "Parcel 4471 left the northern depot on a rainy Monday evening"[:length]
+    changed = f"{line[: length // 2]}#{line[length // 2 + 1 :]}"
+    out = line_dedup.dedup(docs_of(spark, [line, changed]), removed="gone").collect()
+    assert {r.doc_id: r.gone for r in out} == {0: 0, 1: 1}
+
+
 def test_cap_filters(spark):
     rng = np.random.default_rng(5)
     center = rng.standard_normal((3, 32))
