@@ -142,6 +142,15 @@ def test_line_dedup_finds_a_changed_letter(spark, length):
     assert {r.doc_id: r.gone for r in out} == {0: 0, 1: 1}
 
 
+def test_line_dedup_bands_of_lines_that_repeat_themselves(spark):
+    """The bands come from the smallest of all distinct hashes, however often the line repeats them."""
+    rng = np.random.default_rng(4)
+    phrases = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(8)) for _ in range(8)]
+    texts = [t for p in phrases for t in (" ".join([p] * 60), " ".join([p] * 60 + ["x"]))]
+    out = {r.doc_id: r.gone for r in line_dedup.dedup(docs_of(spark, texts), removed="gone").collect()}
+    assert out == {k: k % 2 for k in range(len(texts))}
+
+
 def test_cap_filters(spark):
     rng = np.random.default_rng(5)
     center = rng.standard_normal((3, 32))
