@@ -42,19 +42,22 @@ HINTS = frozenset(
 _KEPT = frozenset("html body article main h1 p".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+_PART = re.compile(r"[a-z]+")
 
 
 def _hinted(attributes: str) -> bool:
-    if not attributes or attributes.isspace():
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _NAMED.finditer(attributes):
-        if any(w in HINTS for w in _WORD.findall(m[1].lower())):
+    """Whether attributes hide the element, or a whole name in them (a class, id or role) is made of hints alone."""
+    for m in _ATTRIBUTE.finditer(attributes or ""):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NONE.search(value):
             return True
+        if name in ("class", "id", "role", "aria-label"):
+            for token in [value] if name == "aria-label" else value.split():
+                parts = _PART.findall(token.lower())
+                if parts and all(w in HINTS for w in parts):
+                    return True
     return False
 
 
@@ -87,15 +90,25 @@ def tokens(html: str) -> list[Token]:
 
 
 def _without(found: list[tuple[int, str, str]]) -> list[Token]:
-    """Leaves out whole elements by their name or what they say of themselves; one that never closes loses only its tag."""
+    """Leaves out whole elements by their name or what they say of themselves; one that never closes loses only its tag.
+
+    One that holds an article or main element stays, and on pages without these one that hints would leave out stays if
+    it holds most of the words.
+    """
     closes = _matching(found)
+    mains, words = [0], [0]
+    for kind, name, more in found:
+        mains.append(mains[-1] + (kind == 1 and name in ("article", "main") and not _hinted(more)))
+        words.append(words[-1] + (len(name.split()) if kind == 0 else 0))
     out: list[Token] = []
     at, articles = 0, 0
     while at < len(found):
         kind, name, attributes = found[at]
         if kind == 1 and name not in VOID:
-            gone = name in LEFT_OUT or name == "head" or name == "header" and not articles or name not in _KEPT and _hinted(attributes)
-            if gone and (to := closes.get(at)) is not None:
+            named = name in LEFT_OUT or name == "head" or name == "header" and not articles
+            gone = named or name not in _KEPT and _hinted(attributes)
+            to = closes.get(at) if gone else None
+            if to is not None and mains[to] == mains[at] and (named or mains[-1] or 2 * (words[to] - words[at]) <= words[-1]):
                 at = to + 1
                 continue
             articles += name == "article"

@@ -203,6 +203,13 @@ def test_html_extraction():
     assert html_text.extract(None) == "" and html_text.extract("<p></p>") == ""
 
 
+def test_html_extraction_keeps_articles_in_named_wrappers():
+    article = "<article><h1>Title</h1><p>Over <a href='/the-hidden-valley'>the valley</a> we went on.</p></article>"
+    for attributes in ("class='overflow-hidden'", "class='content with-sidebar'", "class=no-sidebar", "class=nav-open", "class=search-results", "class=social-studies", "class=widget"):
+        page = f"<body><nav>Menu here</nav><div {attributes}>{article}</div><div class=comments>me too</div><div hidden>no</div></body>"
+        assert "".join(x for kind, x in html_text.tokens(page) if kind == 0) == "TitleOver the valley we went on."
+
+
 def test_license_scan(spark):
     mit = next(t for k, t in licenses.KNOWN if k == "MIT")
     texts = ["MIT LICENCE\n\nCopyright (c) 2020 Someone\n" + mit.upper(), "text\nLicensed under the Apache Licence, version 2.0!", None, "nothing"]
