@@ -78,15 +78,15 @@ def jaro_winkler_columns(pairs: list[tuple[Column, Column]]) -> Column:
     return pandas_udf(run, ", ".join(f"s{k} double" for k in range(len(pairs))))(values)
 
 
-def _grams(x: Column) -> Column:
-    """Bigrams, each with the number of equal ones before it, so that repeats count."""
+def bigrams(x: Column) -> Column:
+    """Bigrams, each with the number of equal ones before it, so that repeats count; computed once for a record."""
     grams = F.when(F.length(x) < 2, F.array(x)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2))))
-    return F.transform(grams, lambda g, i: F.concat_ws("#", g, F.size(F.filter(F.slice(grams, 1, i), lambda o: o == g)).cast("string")))
+    tagged = lambda all_: F.transform(all_, lambda g, i: F.concat_ws("#", g, F.size(F.filter(F.slice(all_, 1, i), lambda o: o == g)).cast("string")))
+    return F.get(F.transform(F.array(grams), tagged), F.lit(0))
 
 
-def dice(a: Column, b: Column) -> Column:
-    """Multiset Dice of bigrams."""
-    x, y = _grams(a), _grams(b)
+def dice(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Multiset Dice of two values with their bigrams x and y."""
     return F.when(a == b, 1.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
 
 

@@ -9,24 +9,25 @@ from ..functions import similarity as S
 from ..schema import ATTRIBUTES, ID, PARTIAL_FROM, STRONG_FROM
 
 
-def with_values(pairs: DataFrame, normalized: DataFrame) -> DataFrame:
-    """Pairs with both sides' attributes, as <attribute>_a and <attribute>_b."""
+def with_values(pairs: DataFrame, normalized: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs with both sides' attributes and further columns, as <attribute>_a and <attribute>_b."""
     for side in "ab":
-        values = normalized.select(F.col(ID).alias(side), *(F.col(x).alias(f"{x}_{side}") for x in ATTRIBUTES))
+        values = normalized.select(F.col(ID).alias(side), *(F.col(x).alias(f"{x}_{side}") for x in (*ATTRIBUTES, *more)))
         pairs = pairs.join(values, side)
     return pairs
 
 
 def similarities(pairs: DataFrame, normalized: DataFrame) -> DataFrame:
     """(a, b, block_origin, sim_<attribute>...)."""
-    wide = with_values(pairs, normalized)
+    normalized = normalized.withColumn("_grams", F.when(F.col("address").isNotNull(), S.bigrams(F.col("address"))))
+    wide = with_values(pairs, normalized, ("_grams",))
     side = lambda x: (F.col(f"{x}_a"), F.col(f"{x}_b"))
     # One pass through Python for names, cities and dates that are no dates; null asks for nothing.
     dates = [F.when(~F.col("birth_date_a").rlike(S.ISO) | ~F.col("birth_date_b").rlike(S.ISO), c) for c in side("birth_date")]
     wide = wide.withColumn("_k", S.jaro_winkler_columns([*(side(x) for x in S.BY_KERNEL), tuple(dates)]))
     raw = {x: F.col(f"_k.s{k}") for k, x in enumerate(S.BY_KERNEL)} | {
         "birth_date": S.date(*side("birth_date"), F.col(f"_k.s{len(S.BY_KERNEL)}")),
-        "address": S.dice(*side("address")),
+        "address": S.dice(*side("address"), *side("_grams")),
         "postal_code": S.postal(*side("postal_code")),
         "email": S.mail(*side("email")),
         "phone": S.equal(*side("phone")),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ABSTAIN, ATTRIBUTES, GREY, ID, MATCH, MATCH_AFTER, NON_MATCH_AFTER, NOT_REVIEWED, REVIEWED
+from ..scratch import saved
 
 BUDGET_SPENT, NO_ANSWER, UNAVAILABLE = "budget_spent", "no_answer", "reviewer_unavailable"
 
@@ -67,5 +68,10 @@ def match_set(decided: DataFrame) -> DataFrame:
 
 
 def ranked(decided: DataFrame) -> DataFrame:
-    """Grey pairs with their place in the review queue."""
-    return decided.where(F.col("verdict") == GREY).select("a", "b", "match_weight", F.row_number().over(Window.orderBy("a", "b")).alias("place"))
+    """Grey pairs with their place in the review queue: places within ranges of (a, b), after the sizes of those before."""
+    grey = decided.where(F.col("verdict") == GREY).select("a", "b", "match_weight")
+    dealt, _ = saved(grey.repartitionByRange("a", "b").withColumn("_part", F.spark_partition_id()), "review-queue")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("a", "b"))
+    return dealt.withColumn("_at", place).join(sizes, "_part").select("a", "b", "match_weight", (F.col("_first") + F.col("_at")).cast("long").alias("place"))

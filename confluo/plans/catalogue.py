@@ -13,6 +13,7 @@ from ..operators import blocking, closure, compare, decide, fusion, review, sizi
 from ..schema import ATTRIBUTES, ID
 from ..sources import records as source
 from . import oracles, pipeline
+from .substrate import held
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,20 +35,25 @@ def query(f: Query) -> Query:
 
 
 def _normalized(spark, sf_dir):
-    return normalize(source.records(spark, sf_dir))
+    return held(spark, sf_dir, "normalized", lambda: normalize(source.records(spark, sf_dir)))
 
 
 def _pairs(spark, sf_dir):
-    return blocking.candidate_pairs(blocking.block_keys(_normalized(spark, sf_dir)))
+    return held(spark, sf_dir, "pairs", lambda: blocking.candidate_pairs(blocking.block_keys(_normalized(spark, sf_dir))))
 
 
 def _levels(spark, sf_dir):
-    return pipeline.levels_of(source.records(spark, sf_dir))[1]
+    return held(spark, sf_dir, "levels", lambda: compare.levels(compare.similarities(_pairs(spark, sf_dir), _normalized(spark, sf_dir))))
 
 
 def _decided(spark, sf_dir):
     """Decisions by the prior weights, which SQL can repeat."""
-    return decide.decisions(_levels(spark, sf_dir), decide.priors().weights())
+    return held(spark, sf_dir, "decided", lambda: decide.decisions(_levels(spark, sf_dir), decide.priors().weights()))
+
+
+def _run(spark, sf_dir):
+    """A run of the engine with estimated weights over the shared levels."""
+    return pipeline.engine(source.records(spark, sf_dir), compared=(_normalized(spark, sf_dir), _levels(spark, sf_dir)))
 
 
 def _true(spark, sf_dir):
@@ -63,15 +69,15 @@ def _cells(spark, sf_dir):
 
 
 def _links(spark, sf_dir):
-    return closure.edges(_decided(spark, sf_dir).where("verdict = 'MATCH'"))
+    return held(spark, sf_dir, "links", lambda: closure.edges(_decided(spark, sf_dir).where("verdict = 'MATCH'")))
 
 
 def _parts(spark, sf_dir):
-    return closure.entities(_links(spark, sf_dir), source.records(spark, sf_dir))
+    return held(spark, sf_dir, "entities", lambda: closure.entities(_links(spark, sf_dir), source.records(spark, sf_dir)))
 
 
 def _votes(spark, sf_dir):
-    return fusion.ballots(source.records(spark, sf_dir), _parts(spark, sf_dir), PRIORITY)
+    return held(spark, sf_dir, "ballots", lambda: fusion.ballots(source.records(spark, sf_dir), _parts(spark, sf_dir), PRIORITY))
 
 
 def _valued(spark, sf_dir):
@@ -143,8 +149,7 @@ def comparison_cost(spark, sf_dir):
 
 @query
 def similarities(spark, sf_dir):
-    pairs, n = _pairs(spark, sf_dir), _normalized(spark, sf_dir)
-    return compare.similarities(pairs, n).drop("block_origin")
+    return _levels(spark, sf_dir).select("a", "b", *(f"sim_{x}" for x in ATTRIBUTES))
 
 
 @query
@@ -189,7 +194,7 @@ def sized_thresholds(spark, sf_dir):
 
 @query
 def sized_decisions(spark, sf_dir):
-    run = pipeline.engine(source.records(spark, sf_dir))
+    run = _run(spark, sf_dir)
     t = sizing.thresholds(run.decisions)
     return decide.decisions(run.levels, run.estimate.weights(), t.upper, t.lower).select("a", "b", "match_weight", "verdict")
 
@@ -246,7 +251,7 @@ def fusion_decisions(spark, sf_dir):
 def fused_records(spark, sf_dir):
     """Golden records of the entities that the prior weights give."""
     parts = _parts(spark, sf_dir)
-    winners = fusion.arbitrated(fusion.ballots(source.records(spark, sf_dir), parts, PRIORITY))
+    winners = fusion.arbitrated(_votes(spark, sf_dir))
     return fusion.golden_records(source.records(spark, sf_dir), parts, winners)
 
 
@@ -265,7 +270,7 @@ def discarded_values(spark, sf_dir):
 @query
 def golden_records(spark, sf_dir):
     """The whole chain with estimated weights and sized thresholds."""
-    return pipeline.chain(source.records(spark, sf_dir), priority=PRIORITY).golden
+    return pipeline.chain(source.records(spark, sf_dir), priority=PRIORITY, run=_run(spark, sf_dir)).golden
 
 
 # Measurement -----------------------------------------------------------------------------------------------------

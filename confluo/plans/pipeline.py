@@ -62,11 +62,17 @@ def levels_of(records: DataFrame, p: Parameters = Parameters()) -> tuple[DataFra
     return normalized, compare.levels(compare.similarities(pairs, normalized), p.strong, p.partial)
 
 
-def engine(records: DataFrame, p: Parameters = Parameters()) -> Run:
-    """Records to decisions. Levels are written once, as the estimate and the decisions both read them."""
+def engine(records: DataFrame, p: Parameters = Parameters(), compared: tuple[DataFrame, DataFrame] | None = None) -> Run:
+    """Records to decisions. Levels are written once, as the estimate and the decisions both read them.
+
+    ``compared`` has the normalised records and the written levels, where a run over the same records has made them.
+    """
     check_ids(records)
-    normalized, levels = levels_of(records, p)
-    levels, _ = saved(levels, "levels")
+    if compared is None:
+        normalized, levels = levels_of(records, p)
+        levels, _ = saved(levels, "levels")
+    else:
+        normalized, levels = compared
     e = decide.fit(levels, p.seed)
     return Run(normalized, levels, e, decide.decisions(levels, e.weights(), p.t_upper, p.t_lower))
 
@@ -104,9 +110,9 @@ class Chain:
     report: dict
 
 
-def chain(records: DataFrame, point: OperatingPoint | None = None, answers: DataFrame | None = None, budget: int | None = None, policy: tuple[str, ...] = POLICY, priority: tuple[str, ...] = (), p: Parameters = Parameters()) -> Chain:
+def chain(records: DataFrame, point: OperatingPoint | None = None, answers: DataFrame | None = None, budget: int | None = None, policy: tuple[str, ...] = POLICY, priority: tuple[str, ...] = (), p: Parameters = Parameters(), run: Run | None = None) -> Chain:
     """Records to golden records; without a point it is sized on the records themselves."""
-    run = engine(records, p)
+    run = run or engine(records, p)
     if point is None:
         point = derived_point(run)
     else:
