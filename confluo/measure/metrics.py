@@ -51,10 +51,15 @@ def measures(cells: DataFrame) -> DataFrame:
 
 
 def under_abstention(cells: DataFrame) -> DataFrame:
-    """Metrics over decided pairs alone, and the share that is decided."""
+    """Metrics over decided pairs alone, with the share that is decided. Grey true pairs leave recall's denominator; those lost by blocking stay in it."""
     c = F.col
-    decided, all_pairs = c("mv") + c("mf") + c("nv") + c("nf"), c("mv") + c("mf") + c("nv") + c("nf") + c("gv") + c("gf")
-    return cells.select(F.round(F.try_divide(decided, all_pairs), 9).alias("coverage"), F.round(F.try_divide(c("mv"), c("mv") + c("mf")), 9).alias("precision"), F.round(F.try_divide(c("mv"), c("mv") + c("nv")), 9).alias("recall"))
+    decided, grey = c("mv") + c("mf") + c("nv") + c("nf"), c("gv") + c("gf")
+    true = c("mv") + c("nv") + c("lost")
+    ratio = lambda x, y: F.round(F.try_divide(x, y), 9)
+    return cells.select(
+        ratio(decided, decided + grey).alias("coverage"), decided.alias("n_decided"), grey.alias("n_abstained"), ratio(c("mv"), c("mv") + c("mf")).alias("precision"), ratio(c("mv"), true).alias("recall"),
+        ratio(2 * c("mv"), c("mv") + c("mf") + true).alias("f1"),
+    )
 
 
 def recall_parts(cells: DataFrame) -> DataFrame:

@@ -64,16 +64,22 @@ def _sigmoid(x: float) -> float:
 def estimate(counts: list[tuple[tuple[str, ...], int]], seed: str = "confluo", iterations: int = EM_ITERATIONS, tolerance: float = EM_TOLERANCE) -> Estimate:
     """Two latent classes over profiles. The likelihood depends on profiles alone, so this equals EM over pairs.
 
-    Falls back to the priors, with the reason, for too few pairs or a degenerate share; sums are exact and sorted, so
-    the result does not depend on partitioning.
+    Falls back to the plain priors, with the reason, for too few pairs, without convergence and for a degenerate share;
+    an attribute that no pair informs on has the priors too. Sums are exact and sorted, so the result does not depend on
+    partitioning.
     """
     counts = sorted(counts)
     total = sum(n for _, n in counts)
     now = priors(seed)
+
+    def fallen(reason: str, steps: int = 0) -> Estimate:
+        out = priors()
+        out.fallback, out.iterations, out.unseen = reason, steps, unseen
+        return out
+
+    unseen: list[str] = []
     if total < EM_LEAST_PAIRS:
-        now = priors()
-        now.fallback = "too few pairs"
-        return now
+        return fallen("too few pairs")
     unseen = [a for k, a in enumerate(ATTRIBUTES) if all(lv[k] == MISSING for lv, _ in counts)]
     for step in range(1, iterations + 1):
         odds = math.log(now.p) - math.log(1 - now.p)
@@ -85,7 +91,7 @@ def estimate(counts: list[tuple[tuple[str, ...], int]], seed: str = "confluo", i
         m, u = {}, {}
         for k, a in enumerate(ATTRIBUTES):
             if a in unseen:
-                m[a], u[a] = now.m[a], now.u[a]
+                m[a], u[a] = dict(PRIOR_M), dict(PRIOR_U)
                 continue
             for out, w in ((m, gamma), (u, [1 - g for g in gamma])):
                 mass = {lv: math.fsum(g * n for g, (lvs, n) in zip(w, counts, strict=True) if lvs[k] == lv) + EM_DIRICHLET for lv in SEEN}
@@ -96,11 +102,11 @@ def estimate(counts: list[tuple[tuple[str, ...], int]], seed: str = "confluo", i
         if now.converged:
             break
     if not now.converged:
-        now.fallback = "not converged"
-    if now.p <= 1e-9 or now.p >= 1 - 1e-9:
-        now = priors()
-        now.fallback = "degenerate share"
-    return oriented(now)
+        return fallen("not converged", now.iterations)
+    now = oriented(now)
+    if now.p <= 2e-9 or now.p >= 1 - 2e-9:
+        return fallen("degenerate share", now.iterations)
+    return now
 
 
 def oriented(e: Estimate) -> Estimate:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import FRONTIER, REVIEW_BUDGET
+from ..schema import FRONTIER, REVIEW_BUDGET, T_LOWER, T_UPPER
 
 
 def budget(per_hour: float = 60, hours: float = 5) -> int:
@@ -47,13 +47,14 @@ class Thresholds:
     upper: float
     lower: float
     n_pairs: int
+    fallback: str | None = None
 
 
 def thresholds(decided: DataFrame, pairs: int = REVIEW_BUDGET, frontier: float = FRONTIER) -> Thresholds:
-    """As numbers; a band of one value is widened by the least step a double can make."""
+    """As numbers; a band of one value is widened by the least step a double can make. Without pairs the defaults stay, with the reason."""
     r = sized(decided, pairs, frontier).first()
     if r is None:
-        return Thresholds(frontier, frontier, 0)
+        return Thresholds(T_UPPER, T_LOWER, 0, "no pairs to size on; the default thresholds stay")
     lo, hi = r["t_lower"], r["t_upper"]
     if lo == hi:
         lo, hi = math.nextafter(lo, -math.inf), math.nextafter(hi, math.inf)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
-from ..measure import bench, distribution, grey, metrics, truth
+from ..measure import bench, distribution, grey, metrics, report, truth
 from ..operators import blocking, closure, compare, decide, fusion, review, sizing
-from ..schema import ATTRIBUTES, ID
+from ..schema import ATTRIBUTES, ID, T_LOWER, T_UPPER
 from ..sources import records as source
 from . import oracles, pipeline
 from .substrate import held
@@ -418,6 +418,75 @@ def fold_counts(spark, sf_dir):
     return grey.fold_counts(grey.split_pairs(_rows(spark, sf_dir), source.truth(spark, sf_dir)))
 
 
+# Report ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def threshold_placement(spark, sf_dir):
+    return report.threshold_placement(_rows(spark, sf_dir), T_UPPER, T_LOWER)
+
+
+@query
+def class_imbalance(spark, sf_dir):
+    return report.imbalance(_rows(spark, sf_dir))
+
+
+@query
+def irreducibility(spark, sf_dir):
+    return report.irreducibility(_rows(spark, sf_dir))
+
+
+@query
+def band_evidence(spark, sf_dir):
+    return report.evidence(_decided(spark, sf_dir), ATTRIBUTES)
+
+
+@query
+def band_reconciliation(spark, sf_dir):
+    return report.band_reconciliation(_decided(spark, sf_dir), T_UPPER, T_LOWER)
+
+
+@query
+def fold_f1(spark, sf_dir):
+    t = source.truth(spark, sf_dir)
+    true = grey.split_pairs(_true(spark, sf_dir), t).groupBy("fold").agg(F.count("*").alias("n_true"))
+    return report.fold_f1(grey.split_pairs(_rows(spark, sf_dir), t), true)
+
+
+@query
+def system_metrics(spark, sf_dir):
+    valued = _valued(spark, sf_dir)
+    scored = {"engine": _decided(spark, sf_dir).select("a", "b", "verdict")} | {n: bench.scored(valued, n).select("a", "b", "verdict") for n in bench.BASELINES}
+    return report.systems(scored, _true(spark, sf_dir))
+
+
+@query
+def pair_evidence(spark, sf_dir):
+    return report.pair_evidence(_decided(spark, sf_dir), ATTRIBUTES)
+
+
+@query
+def equal_after_normalization(spark, sf_dir):
+    return report.equal_after_normalization(_links(spark, sf_dir), _normalized(spark, sf_dir), ATTRIBUTES)
+
+
+@query
+def to_verify(spark, sf_dir):
+    return report.to_verify(_decided(spark, sf_dir), _parts(spark, sf_dir))
+
+
+@query
+def truth_check(spark, sf_dir):
+    return report.truth_check(truth.statistics(source.truth(spark, sf_dir)), 812)
+
+
+@query
+def all_linker_rules(spark, sf_dir):
+    pairs = blocking.candidate_pairs(blocking.block_keys(_normalized(spark, sf_dir), blocking.LINKER_PASSES))
+    rules = F.array_distinct(F.transform("block_origin", lambda x: F.split_part(x, F.lit(":"), F.lit(1))))
+    return pairs.select("a", "b", F.array_join(F.array_sort(rules), ",").alias("rules"))
+
+
 # Baselines -------------------------------------------------------------------------------------------------------
 
 

@@ -18,8 +18,15 @@ def _expanded(x: str, table: dict[str, str]) -> str:
     return f"array_to_string(list_transform(string_split({_plain(x)}, ' '), lambda w: CASE w {cases} ELSE w END), ' ')"
 
 
+# Runs of single letters become one word: a space goes where the words on both sides have one letter.
+def _initials(x: str) -> str:
+    w = f"string_split({x}, ' ')"
+    single = lambda i: f"({i} >= 1 AND {i} <= len({w}) AND regexp_matches({w}[{i}], '^[a-z]$'))"
+    return f"CASE WHEN {x} IS NOT NULL THEN array_to_string(list_transform(range(1, len({w}) + 1), lambda i: concat(CASE WHEN i = 1 OR ({single('i - 1')} AND {single('i')}) THEN '' ELSE ' ' END, {w}[i])), '') END"
+
+
 _forms = ", ".join(f"'{x}'" for x in LEGAL_FORMS)
-_last = f"array_to_string(CASE WHEN len(list_filter(string_split({_plain('last_name')}, ' '), lambda w: w NOT IN ({_forms}))) = 0 THEN string_split({_plain('last_name')}, ' ') ELSE list_filter(string_split({_plain('last_name')}, ' '), lambda w: w NOT IN ({_forms})) END, ' ')"
+_last = f"array_to_string(CASE WHEN len(list_filter(string_split(ini, ' '), lambda w: w NOT IN ({_forms}))) = 0 THEN string_split(ini, ' ') ELSE list_filter(string_split(ini, ' '), lambda w: w NOT IN ({_forms})) END, ' ')"
 _digits = lambda x: f"nullif(regexp_replace({x}, '[^0-9]', '', 'g'), '')"
 _y = "^(\\d{4})[^0-9](\\d{1,2})[^0-9](\\d{1,2})$"
 _c = "^(\\d{4})(\\d{2})(\\d{2})$"
@@ -31,13 +38,16 @@ def _iso(p: str, y: int, m: int, d: int) -> str:
     return f"WHEN regexp_matches(trim(birth_date), '{p}') THEN concat_ws('-', {g(y)}, lpad({g(m)}, 2, '0'), lpad({g(d)}, 2, '0'))"
 
 
+_hex = "list_reduce(list_prepend(0::bigint, list_transform(range(0, 8), lambda i: cast(concat('0x', substr(sha256(concat('confluo::', true_entity)), i * 8 + 1, 8)) AS bigint))), lambda acc, x: (acc * 7296 + x) % 10000)"
+_fold = f"CASE WHEN {_hex} < 5000 THEN 1 ELSE 2 END"
+
 _CTES = {
     "rec": view_sql(),
     "norm": f"""SELECT record_id, source_id, {_last} AS last_name, {_plain('first_name')} AS first_name,
         CASE {_iso(_y, 1, 2, 3)} {_iso(_c, 1, 2, 3)} {_iso(_d, 3, 2, 1)} ELSE {_plain('birth_date')} END AS birth_date,
         {_expanded('address', STREET)} AS address, {_digits('postal_code')} AS postal_code, {_expanded('city', {k: STREET[k] for k in ('st', 'ste')})} AS city,
         nullif(lower(regexp_replace(email, '\\s+', '', 'g')), '') AS email,
-        CASE WHEN {_digits('phone')} LIKE '0033%' AND length({_digits('phone')}) = 13 THEN concat('0', substr({_digits('phone')}, 5, 9)) WHEN {_digits('phone')} LIKE '33%' AND length({_digits('phone')}) = 11 THEN concat('0', substr({_digits('phone')}, 3, 9)) ELSE {_digits('phone')} END AS phone FROM rec""",
+        CASE WHEN {_digits('phone')} LIKE '0033%' AND length({_digits('phone')}) = 13 THEN concat('0', substr({_digits('phone')}, 5, 9)) WHEN {_digits('phone')} LIKE '33%' AND length({_digits('phone')}) = 11 THEN concat('0', substr({_digits('phone')}, 3, 9)) ELSE {_digits('phone')} END AS phone FROM (SELECT *, {_initials(_plain('last_name'))} AS ini FROM rec) rec""",
     "keys": """SELECT * FROM (SELECT record_id, 'CP' AS pass, postal_code AS key FROM norm UNION ALL
         SELECT record_id, 'PREF', CASE WHEN last_name IS NOT NULL THEN substr(concat(replace(last_name, ' ', ''), coalesce(replace(first_name, ' ', ''), '')), 1, 4) END FROM norm) q WHERE key IS NOT NULL AND key <> ''""",
     "blocks": "SELECT pass, key, count(*) AS n FROM keys GROUP BY ALL HAVING count(*) >= 2",
@@ -90,6 +100,10 @@ _CTES |= {
         coalesce(sum(cast(verdict = 'GREY' AND NOT is_true AS bigint)), 0) AS gf, coalesce(sum(cast(verdict = 'NON_MATCH' AND is_true AS bigint)), 0) AS nv, coalesce(sum(cast(verdict = 'NON_MATCH' AND NOT is_true AS bigint)), 0) AS nf,
         (SELECT count(*) FROM tp t WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.a = t.a AND p.b = t.b)) AS lost FROM rws""",
     "bw": "SELECT match_weight, sum(cast(is_true AS bigint)) AS nv, sum(cast(NOT is_true AS bigint)) AS nf FROM rws GROUP BY 1",
+    "fth": f"""SELECT round((match_weight + nxt) / 2, 9) AS threshold FROM (SELECT match_weight, nxt, tv - cv AS tp, tf - cf AS fp, cv AS fn FROM
+        (SELECT match_weight, lead(match_weight) OVER (ORDER BY match_weight) AS nxt, sum(nv) OVER (ORDER BY match_weight) AS cv, sum(nf) OVER (ORDER BY match_weight) AS cf, sum(nv) OVER () AS tv, sum(nf) OVER () AS tf FROM
+        (SELECT match_weight, sum(cast(is_true AS int)) AS nv, sum(cast(NOT is_true AS int)) AS nf FROM rws r JOIN (SELECT record_id, {_fold} AS fold FROM rec) x ON r.a = x.record_id JOIN (SELECT record_id, {_fold} AS fold FROM rec) y ON r.b = y.record_id WHERE x.fold = 1 AND y.fold = 1 GROUP BY 1) b) q WHERE nxt IS NOT NULL) z
+        ORDER BY round(cast(2 * tp AS double) / nullif(2 * tp + fp + fn, 0), 9) DESC NULLS LAST, 1 LIMIT 1""",
     "lnk": "SELECT a, b FROM dec WHERE verdict = 'MATCH'",
     "sym": "SELECT a AS x, b AS y FROM lnk UNION SELECT b, a FROM lnk",
     "reach": "SELECT record_id AS x, record_id AS y FROM rec UNION SELECT r.x, s.y FROM reach r JOIN sym s ON r.y = s.x",
@@ -145,8 +159,6 @@ _triple = f"({_same('last_name')} AND {_same('first_name')} AND {_same('birth_da
 _strong = f"({_same('email')} OR {_same('phone')} OR {_triple})"
 _words = lambda s: "list_distinct(list_filter(string_split(concat_ws(' ', " + ", ".join(f"{c}_{s}" for c in _A) + "), ' '), lambda w: w <> ''))"
 _fns = "SELECT t.a, t.b, d.match_weight, CASE WHEN d.verdict IS NULL THEN 'lost_at_blocking' WHEN d.verdict = 'GREY' THEN 'grey' WHEN d.guarded THEN 'guarded' ELSE 'decided_non_match' END AS cause FROM tp t LEFT JOIN dec d ON t.a = d.a AND t.b = d.b WHERE d.verdict IS NULL OR d.verdict <> 'MATCH'"
-_hex = "list_reduce(list_prepend(0::bigint, list_transform(range(0, 8), lambda i: cast(concat('0x', substr(sha256(concat('confluo::', true_entity)), i * 8 + 1, 8)) AS bigint))), lambda acc, x: (acc * 7296 + x) % 10000)"
-_fold = f"CASE WHEN {_hex} < 5000 THEN 1 ELSE 2 END"
 
 
 def _scored(expr: str, cut: float) -> str:
@@ -209,7 +221,7 @@ SQL = {
     "pair_metrics": _q(
         f"SELECT convention, cast(tp AS bigint) AS tp, cast(fp AS bigint) AS fp, cast(fn AS bigint) AS fn, {_ratio('tp', 'tp + fp')} AS precision, {_ratio('tp', 'tp + fn')} AS recall, {_ratio('2 * tp', '2 * tp + fp + fn')} AS f1, {_wilson('tp', '(tp + fp)', '-')} AS precision_lo, {_wilson('tp', '(tp + fp)', '+')} AS precision_hi, {_wilson('tp', '(tp + fn)', '-')} AS recall_lo, {_wilson('tp', '(tp + fn)', '+')} AS recall_hi FROM {_CONV} q"
     ),
-    "abstention_metrics": _q(f"SELECT {_ratio('mv + mf + nv + nf', 'mv + mf + nv + nf + gv + gf')} AS coverage, {_ratio('mv', 'mv + mf')} AS precision, {_ratio('mv', 'mv + nv')} AS recall FROM cel"),
+    "abstention_metrics": _q(f"SELECT {_ratio('n - gv - gf', 'n')} AS coverage, cast(n - gv - gf AS bigint) AS n_decided, cast(gv + gf AS bigint) AS n_abstained, {_ratio('mv', 'mv + mf')} AS precision, {_ratio('mv', 't - gv')} AS recall, {_ratio('2 * mv', 'mv + mf + t - gv')} AS f1 FROM (SELECT *, (SELECT count(*) FROM dec) AS n, (SELECT count(*) FROM tp) AS t FROM cel) z"),
     "recall_parts": _q(f"SELECT {_ratio('mv + gv + nv', 'mv + gv + nv + lost')} AS blocking, {_ratio('mv', 'mv + gv + nv')} AS decision, {_ratio('mv', 'mv + gv + nv + lost')} AS end_to_end FROM cel"),
     "fn_causes": _q(f"SELECT cause, count(*) AS n FROM ({_fns}) q GROUP BY cause"),
     "fn_top": _q(f"SELECT * FROM ({_fns}) q ORDER BY match_weight DESC NULLS LAST, a, b LIMIT 50"),
@@ -240,4 +252,68 @@ SQL = {
     "mcnemar_counts": _q(
         f"SELECT cast(coalesce(sum(cast(m = t AND s <> t AS bigint)), 0) AS bigint) AS only_first, cast(coalesce(sum(cast(m <> t AND s = t AS bigint)), 0) AS bigint) AS only_second FROM (SELECT r.verdict = 'MATCH' AS m, r.is_true AS t, {_strong} AS s FROM rws r JOIN vals v ON r.a = v.a AND r.b = v.b) q"
     ),
+    "threshold_placement": _q(
+        f"SELECT is_true, count(*) AS n, {_ratio('sum(cast(match_weight <= 8 AS int))', 'count(*)')} AS share_upto_upper, {_ratio('sum(cast(match_weight <= -8 AS int))', 'count(*)')} AS share_upto_lower, cast(sum(cast(match_weight > 8 AS int)) AS bigint) AS n_above, cast(sum(cast(match_weight < -8 AS int)) AS bigint) AS n_below, cast(sum(cast(match_weight BETWEEN -8 AND 8 AS int)) AS bigint) AS n_between FROM rws GROUP BY is_true"
+    ),
+    "class_imbalance": _q(
+        f"SELECT n_true, n_false, {_ratio('n_false', 'n_true')} AS ratio, {_ratio('n_true', 'n_true + n_false')} AS positive_rate, round((1 - auc) * n_true, 6) AS misplaced_scored, round((1 - auc) * n_true, 6) AS misplaced_all FROM (SELECT cast(sum(nv) AS bigint) AS n_true, cast(sum(nf) AS bigint) AS n_false, round(cast(sum(nv * (2 * below + nf)) AS double) / nullif(2 * sum(nv) * sum(nf), 0), 9) AS auc FROM (SELECT *, coalesce(sum(nf) OVER (ORDER BY match_weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM bw) q) z"
+    ),
+    "irreducibility": _q(
+        f"SELECT count(*) AS n_values, cast(coalesce(sum(cast(nv > 0 AND nf > 0 AS int)), 0) AS bigint) AS mixed_values, {_ratio('sum(CASE WHEN nv > 0 AND nf > 0 THEN nv + nf ELSE 0 END)', 'sum(nv + nf)')} AS share_mixed, cast(coalesce(sum(least(nv, nf)), 0) AS bigint) AS floor, CASE WHEN sum(nv) >= 5 AND sum(nf) > 0 THEN round(cast(sum(nv * (2 * below + nf)) AS double) / (2 * sum(nv) * sum(nf)), 9) END AS auc_inside FROM (SELECT *, coalesce(sum(nf) OVER (ORDER BY match_weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT match_weight, sum(cast(is_true AS int)) AS nv, sum(cast(NOT is_true AS int)) AS nf FROM rws WHERE verdict = 'GREY' GROUP BY 1) b) q"
+    ),
+    "band_evidence": _q(
+        "SELECT band, count(*) AS n, list_sort(list(n_informative))[count(*) // 2 + 1] AS median_informative, round(cast(sum(miss) AS double) / (8 * count(*)), 9) AS missing_rate FROM (SELECT CASE WHEN verdict = 'GREY' THEN 'inside' ELSE 'outside' END AS band, n_informative, " + " + ".join(f"cast(lvl_{c} = 'MISSING' AS int)" for c in _A) + " AS miss FROM dec) q GROUP BY band"
+    ),
+    "band_reconciliation": _q(
+        "SELECT *, n_between - n_grey - n_guarded_between AS gap, n_between = n_grey + n_guarded_between AS coherent FROM (SELECT cast(sum(cast(match_weight BETWEEN -8 AND 8 AS int)) AS bigint) AS n_between, cast(sum(cast(verdict = 'GREY' AS int)) AS bigint) AS n_grey, cast(sum(cast(guarded AS int)) AS bigint) AS n_guarded, cast(sum(cast(guarded AND match_weight BETWEEN -8 AND 8 AS int)) AS bigint) AS n_guarded_between FROM dec) q"
+    ),
+    "fold_f1": _q(
+        f"""SELECT r.fold, th.threshold, r.tp, r.fp, t.n_true, {_ratio('2 * r.tp', 'r.tp + r.fp + t.n_true')} AS f1 FROM
+        (SELECT x.fold, cast(sum(cast(r.is_true AS int)) AS bigint) AS tp, cast(sum(cast(NOT r.is_true AS int)) AS bigint) AS fp FROM rws r JOIN (SELECT record_id, {_fold} AS fold FROM rec) x ON r.a = x.record_id JOIN (SELECT record_id, {_fold} AS fold FROM rec) y ON r.b = y.record_id AND x.fold = y.fold
+            WHERE r.match_weight > (SELECT threshold FROM fth) GROUP BY x.fold) r
+        JOIN (SELECT x.fold, count(*) AS n_true FROM tp p JOIN (SELECT record_id, {_fold} AS fold FROM rec) x ON p.a = x.record_id JOIN (SELECT record_id, {_fold} AS fold FROM rec) y ON p.b = y.record_id AND x.fold = y.fold GROUP BY x.fold) t ON r.fold = t.fold CROSS JOIN fth th"""
+    ),
+    "system_metrics": _q(
+        "SELECT system, tp, fp, fn, " + ", ".join((_ratio("tp", "tp + fp") + " AS precision", _ratio("tp", "tp + fn") + " AS recall", _ratio("2 * tp", "2 * tp + fp + fn") + " AS f1")) + " FROM (SELECT system, cast(sum(cast(m AND t AS int)) AS bigint) AS tp, cast(sum(cast(m AND NOT t AS int)) AS bigint) AS fp, (SELECT count(*) FROM tp) - cast(sum(cast(m AND t AS int)) AS bigint) AS fn FROM ("
+        + " UNION ALL ".join(
+            [
+                "SELECT 'engine' AS system, verdict = 'MATCH' AS m, is_true AS t FROM rws",
+                *(
+                    f"SELECT '{n}', cast({e} AS double) >= {c}, r.is_true FROM vals v JOIN rws r ON v.a = r.a AND v.b = r.b"
+                    for n, e, c in (
+                        ("all", "1.0", 1.0),
+                        ("exact_triple", f"CASE WHEN {_triple} THEN 1 ELSE 0 END", 1.0),
+                        ("strong_key", f"CASE WHEN {_strong} THEN 1 ELSE 0 END", 1.0),
+                        ("jaccard", f"coalesce(round(cast(len(list_intersect({_words('a')}, {_words('b')})) AS double) / nullif(len(list_distinct(list_concat({_words('a')}, {_words('b')}))), 0), 9), 0)", 0.5),
+                        ("strong_or_three", f"CASE WHEN {_strong} OR " + " + ".join(f"cast({_same(c)} AS int)" for c in _A) + " >= 3 THEN 1 ELSE 0 END", 1.0),
+                    )
+                ),
+            ]
+        )
+        + ") q GROUP BY system) z"
+    ),
+    "pair_evidence": _q(
+        "SELECT a, b, verdict, match_weight, " + ", ".join("array_to_string(list_filter([" + ", ".join(f"CASE WHEN lvl_{c} = '{lv}' THEN '{c}' END" for c in _A) + f"], lambda x: x IS NOT NULL), ',') AS {n}" for n, lv in (("agree", "STRONG"), ("partly", "PARTIAL"), ("differ", "DISAGREE"), ("missing", "MISSING")))
+        + ", round(greatest(" + ", ".join(f"w_{c}" for c in _A) + "), 9) AS most_for, round(least(" + ", ".join(f"w_{c}" for c in _A) + "), 9) AS most_against FROM dec WHERE verdict IN ('MATCH', 'GREY')"
+    ),
+    "equal_after_normalization": _q("SELECT v.a, v.b, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c}_a = {c}_b THEN '{c}' END" for c in _A) + "], lambda x: x IS NOT NULL), ',') AS equal FROM vals v JOIN lnk l ON v.a = l.a AND v.b = l.b"),
+    "to_verify": _q(
+        "SELECT entity_id, cast(sum(cast(ea = eb AS int)) AS bigint) AS n_inside, cast(sum(cast(ea <> eb AS int)) AS bigint) AS n_between, max(match_weight) AS heaviest FROM (SELECT unnest(list_distinct([x.entity_id, y.entity_id])) AS entity_id, x.entity_id AS ea, y.entity_id AS eb, d.match_weight FROM dec d JOIN ent x ON d.a = x.record_id JOIN ent y ON d.b = y.record_id WHERE d.verdict = 'GREY') q GROUP BY entity_id"
+    ),
+    "truth_check": _q("SELECT 812::bigint AS announced, count(*) AS counted, count(*) - 812 AS gap, count(*) = 812 AS agrees FROM tp"),
+    "all_linker_rules": _q(
+        "SELECT a, b, array_to_string(list_sort(list(DISTINCT r)), ',') AS rules FROM ("
+        + " UNION ALL ".join(
+            f"SELECT x.record_id AS a, y.record_id AS b, '{n}' AS r FROM norm x JOIN norm y ON {on} AND x.record_id < y.record_id"
+            for n, on in (
+                ("NAMES", "x.last_name = y.last_name AND x.first_name = y.first_name"),
+                ("BIRTH", "x.birth_date = y.birth_date"),
+                ("EMAIL", "x.email = y.email"),
+                ("PHONE", "x.phone = y.phone"),
+                ("CP", "x.postal_code = y.postal_code"),
+                ("ADDRESS", "x.address = y.address"),
+            )
+        )
+        + " UNION ALL SELECT x.record_id, y.record_id, 'PREF' FROM keys x JOIN keys y ON x.pass = 'PREF' AND y.pass = 'PREF' AND x.key = y.key AND x.record_id < y.record_id) q GROUP BY a, b"
+    ),
 }

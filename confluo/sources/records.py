@@ -17,7 +17,8 @@ STREETS = "des lilas,du moulin,de la gare,victor hugo,jean jaures,des ecoles,pas
 TYPES = "rue,avenue,boulevard,place,chemin"
 
 #: The view in SQL of both engines; {div} is integer division. Three sources; the second and third hold copies with one
-#: corruption each: upper case, accents, a substituted letter, no email, swapped names, abbreviations, date order.
+#: corruption each: upper case, accents, a substituted letter, no email, swapped names, abbreviations, date order, another
+#: first letter and postal code (blocking loses these), initials with an unknown date, and many at once (these look different).
 VIEW = f"""
 WITH base AS (
   SELECT c_custkey AS k, c_nationkey AS nk, n_name,
@@ -29,16 +30,16 @@ WITH base AS (
   FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey),
 copies AS (
   SELECT *, 'A' AS s, -1 AS v FROM base
-  UNION ALL SELECT *, 'B' AS s, cast((k {{div}} 3 + 1) % 7 AS int) AS v FROM base WHERE k % 3 = 0
-  UNION ALL SELECT *, 'C' AS s, cast((k {{div}} 3 + 2) % 7 AS int) AS v FROM base WHERE k % 7 = 0)
+  UNION ALL SELECT *, 'B' AS s, cast((k {{div}} 3 + 1) % 10 AS int) AS v FROM base WHERE k % 3 = 0
+  UNION ALL SELECT *, 'C' AS s, cast((k {{div}} 3 + 2) % 10 AS int) AS v FROM base WHERE k % 7 = 0)
 SELECT concat(s, lpad(cast(k AS varchar(20)), 10, '0')) AS record_id, concat('SRC_', s) AS source_id,
-  CASE v WHEN 0 THEN upper(ln) WHEN 1 THEN replace(ln, 'e', 'é') WHEN 2 THEN concat(substr(ln, 1, 2), 'x', substr(ln, 4)) WHEN 4 THEN fn ELSE ln END AS last_name,
-  CASE v WHEN 0 THEN upper(fn) WHEN 4 THEN ln ELSE fn END AS first_name,
-  CASE v WHEN 6 THEN concat(lpad(cast(dy AS varchar(4)), 2, '0'), '/', lpad(cast(mo AS varchar(4)), 2, '0'), '/', cast(y AS varchar(4))) ELSE concat(cast(y AS varchar(4)), '-', lpad(cast(mo AS varchar(4)), 2, '0'), '-', lpad(cast(dy AS varchar(4)), 2, '0')) END AS birth_date,
+  CASE v WHEN 0 THEN upper(ln) WHEN 1 THEN replace(ln, 'e', 'é') WHEN 2 THEN concat(substr(ln, 1, 2), 'x', substr(ln, 4)) WHEN 4 THEN fn WHEN 7 THEN concat('z', substr(ln, 2)) WHEN 8 THEN concat(substr(ln, 1, 4), 'wyx') ELSE ln END AS last_name,
+  CASE v WHEN 0 THEN upper(fn) WHEN 4 THEN ln WHEN 8 THEN 'yvo' WHEN 9 THEN concat(substr(fn, 1, 1), '. ', substr(fn, 3, 1), '.') ELSE fn END AS first_name,
+  CASE v WHEN 8 THEN concat(cast(y - 3 AS varchar(4)), '-01-31') WHEN 9 THEN 'unknown' WHEN 6 THEN concat(lpad(cast(dy AS varchar(4)), 2, '0'), '/', lpad(cast(mo AS varchar(4)), 2, '0'), '/', cast(y AS varchar(4))) ELSE concat(cast(y AS varchar(4)), '-', lpad(cast(mo AS varchar(4)), 2, '0'), '-', lpad(cast(dy AS varchar(4)), 2, '0')) END AS birth_date,
   concat(cast(no AS varchar(4)), ' ', CASE WHEN v = 5 THEN CASE ty WHEN 'avenue' THEN 'av.' WHEN 'boulevard' THEN 'bd' WHEN 'place' THEN 'pl' WHEN 'chemin' THEN 'ch' ELSE 'r.' END ELSE ty END, ' ', st) AS address,
-  CASE v WHEN 6 THEN cast(cp + 1 AS varchar(10)) ELSE cast(cp AS varchar(10)) END AS postal_code, n_name AS city,
-  CASE v WHEN 3 THEN NULL ELSE concat(fn, '.', ln, cast(k AS varchar(20)), '@example.org') END AS email,
-  CASE v WHEN 5 THEN concat('+33 ', cast(ph AS varchar(12))) ELSE concat('0', cast(ph AS varchar(12))) END AS phone,
+  CASE WHEN v IN (6, 7) THEN cast(cp + 1 AS varchar(10)) ELSE cast(cp AS varchar(10)) END AS postal_code, n_name AS city,
+  CASE WHEN v = 3 THEN NULL WHEN v = 8 THEN concat('other', cast(k AS varchar(20)), '@example.net') ELSE concat(fn, '.', ln, cast(k AS varchar(20)), '@example.org') END AS email,
+  CASE v WHEN 8 THEN '0600000000' WHEN 5 THEN concat('+33 ', cast(ph AS varchar(12))) ELSE concat('0', cast(ph AS varchar(12))) END AS phone,
   concat('C', cast(k AS varchar(20))) AS true_entity
 FROM copies
 UNION ALL
@@ -152,6 +153,17 @@ def generated(spark: SparkSession, seed: str, n_entities: int) -> DataFrame:
     clean = rows.select(F.concat(F.lit("R"), F.lpad(F.col("id").cast("string"), 9, "0"), F.lit("A")).alias(ID), F.lit("SRC_A").alias("source_id"), *ATTRIBUTES, F.concat(F.lit("E"), F.col("id").cast("string")).alias("true_entity"), F.array().cast("array<string>").alias("corruptions"))
     has = lambda k: draw(f"corrupt-{k}", 100) < 30
     c = F.col
+    swapped = has("SWAP") & ~has("TYPO") & c("first_name").isNotNull()
+    # A drawn corruption is listed where it changes a value.
+    effect = {
+        "TYPO": F.substring("last_name", 3, 1) != "x",
+        "PHONETIC": F.substring("postal_code", 5, 1) != "7",
+        "FORMAT": F.upper(F.regexp_replace("address", " avenue ", " av. ")) != c("address"),
+        "MISSING": c("email").isNotNull(),
+        "TRUNCATION": (F.length("first_name") > 3) & ~swapped,
+        "SWAP": swapped & (c("first_name") != c("last_name")),
+        "NOISE": F.lit(True),
+    }
     dirty = rows.where(draw("copy", 100) < 48).select(
         "id",
         F.when(has("TYPO"), F.concat(F.substring("last_name", 1, 2), F.lit("x"), F.expr("substring(last_name, 4)"))).when(has("SWAP") & c("first_name").isNotNull(), c("first_name")).otherwise(c("last_name")).alias("last_name"),
@@ -162,7 +174,7 @@ def generated(spark: SparkSession, seed: str, n_entities: int) -> DataFrame:
         F.when(has("NOISE"), F.concat(c("city"), F.lit(" cedex"))).otherwise(c("city")).alias("city"),
         F.when(~has("MISSING"), c("email")).alias("email"),
         "phone",
-        F.array_compact(F.array(*[F.when(has(k), k) for k in CORRUPTIONS])).alias("corruptions"),
+        F.array_compact(F.array(*[F.when(F.coalesce(has(k) & effect[k], F.lit(False)), k) for k in CORRUPTIONS])).alias("corruptions"),
     )
     copies = dirty.select(F.concat(F.lit("R"), F.lpad(F.col("id").cast("string"), 9, "0"), F.lit("B")).alias(ID), F.lit("SRC_B").alias("source_id"), *ATTRIBUTES, F.concat(F.lit("E"), F.col("id").cast("string")).alias("true_entity"), "corruptions")
     return clean.union(copies)
