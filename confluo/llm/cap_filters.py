@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, saved, short_batches
+from .common import batches, dropped, saved
 from .components import connected
 from .ngram_join import common_counts
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, short_batches, texts
+from .common import batches, saved, texts
 from .encoder import encoder
 
 MAGIC = b"DAC1"
@@ -42,11 +42,12 @@ SEGMENTS = T.StructType(
         T.StructField("n_docs", T.LongType()),
         T.StructField("n_tokens", T.LongType()),
         T.StructField("shard_start", T.LongType()),
+        T.StructField("doc_ids", T.ArrayType(T.LongType())),
         T.StructField("payload", T.BinaryType()),
     ]
 )
 _SEGMENTS_ARROW = pa.schema(
-    [("shard", pa.int32()), ("segment", pa.int32()), ("first_doc_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("shard_start", pa.int64()), ("payload", pa.binary())]
+    [("shard", pa.int32()), ("segment", pa.int32()), ("first_doc_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("shard_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())]
 )
 
 
@@ -156,7 +157,7 @@ def _segments(path: str, end_id: int | None, limit: int):
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist(
-                [{"shard": shard, "segment": number, "first_doc_id": docs[0], "n_docs": len(docs), "n_tokens": held, "shard_start": start, "payload": pack_segment(docs, ids)}], _SEGMENTS_ARROW
+                [{"shard": shard, "segment": number, "first_doc_id": docs[0], "n_docs": len(docs), "n_tokens": held, "shard_start": start, "doc_ids": docs, "payload": pack_segment(docs, ids)}], _SEGMENTS_ARROW
             )
 
         for batch in batches:
@@ -176,11 +177,11 @@ def _segments(path: str, end_id: int | None, limit: int):
 
 def write_segments(docs: DataFrame, vocabulary: str, name: str = "dac", *, end_id: int | None, doc_id: str = "doc_id", text: str = "text", limit: int = SEGMENT_TOKENS) -> tuple[DataFrame, str]:
     """Encode whole texts and write them as segments in ascending doc_id order; gives the written table and its path."""
-    short_batches(docs.sparkSession)
     key, words = F.col("_id"), F.col("_text")
     rows = docs.select(docs[doc_id].cast("long").alias("_id"), texts(docs, text).alias("_text"))
     rows = rows.repartitionByRange(key, F.xxhash64(words)).sortWithinPartitions(key, F.xxhash64(words))
-    return saved(rows.mapInArrow(_segments(vocabulary, end_id, limit), SEGMENTS), name)
+    with batches(docs.sparkSession):
+        return saved(rows.mapInArrow(_segments(vocabulary, end_id, limit), SEGMENTS), name)
 
 
 def shard_offsets(segments: DataFrame) -> DataFrame:
@@ -217,25 +218,19 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digest(segments: DataFrame) -> DataFrame:
     """Per document, from the written segments: its place among all ids, their number and checksum."""
-    spark = segments.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    placed = segments.join(F.broadcast(shard_offsets(segments)), "shard")
-    return placed.select("shard", "segment", "shard_start", "payload", "offset").mapInArrow(_digest, _DIGEST)
+    placed = segments.join(shard_offsets(segments), "shard")
+    # Payloads are large: few to a batch.
+    with batches(segments.sparkSession, 8):
+        return saved(placed.select("shard", "segment", "shard_start", "payload", "offset").mapInArrow(_digest, _DIGEST), "digest")[0]
 
 
 def read_tokens(segments: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, position) rows of ``wanted`` with their token; positions outside a document give none.
 
-    Segments cover ranges of doc_id, so each asked document is first brought to its segment; there each token is
-    read by itself.
+    The column of document ids, read without the payloads, brings each asked document to its segment; there each token
+    is read by itself. A segment of which nothing is asked is not opened.
     """
 
-    def docs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = Segment(r["payload"]).doc_ids
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r["shard"]] * len(ids), pa.int32()), pa.array([r["segment"]] * len(ids), pa.int32()), pa.array(range(len(ids)), pa.int32())], ["doc_id", "shard", "segment", "nth"])
-
     def tokens(left, right):
         import pandas as pd
 
@@ -248,6 +243,6 @@ def read_tokens(segments: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows.append((r.doc_id, r.position, s.token(r.nth, r.position)))
         return pd.DataFrame(rows, columns=["doc_id", "position", "token"])
 
-    index = segments.select("shard", "segment", "payload").mapInArrow(docs_of, "doc_id long, shard int, segment int, nth int")
+    index = segments.select("shard", "segment", F.posexplode("doc_ids").alias("nth", "doc_id"))
     asked = index.join(wanted.select("doc_id", "position"), "doc_id").groupBy("shard", "segment")
-    return segments.groupBy("shard", "segment").cogroup(asked).applyInPandas(tokens, "doc_id long, position long, token long")
+    return segments.select("shard", "segment", "payload").join(index.join(wanted.select("doc_id"), "doc_id").select("shard", "segment").distinct(), ["shard", "segment"], "left_semi").groupBy("shard", "segment").cogroup(asked).applyInPandas(tokens, "doc_id long, position long, token long")

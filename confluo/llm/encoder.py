@@ -45,9 +45,9 @@ class _Words(dict):
 
 
 class Encoder(dict):
-    """ids(text) has the ids of a whole text, 4 bytes each.
+    """ids(text) has the ids of a whole text, 4 bytes each, as the library itself gives them.
 
-    Spaced vocabularies keep white space in their tokens; others drop it. Texts of Latin letters are cut into
+    A text that spells one of the vocabulary's added tokens, in whatever case, goes to the library whole. Spaced vocabularies keep white space in their tokens; others drop it. Texts of Latin letters are cut into
     pre-tokens here, and distinct pre-tokens go to the library's merge model. Other texts are cut into chunks whose
     bounds no pre-token spans, and distinct chunks go through the library's whole pipeline; this dict keeps them.
     """
@@ -60,7 +60,8 @@ class Encoder(dict):
         self._tok = Tokenizer.from_file(path)
         self._tok.no_truncation()
         self._tok.no_padding()
-        self._tok.encode_special_tokens = True
+        added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda text: None
         self._words, self._entries = _Words(self._tok.model, entries), entries
         self.spaced = self._tok.normalizer is None
 
@@ -79,6 +80,9 @@ class Encoder(dict):
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text, 4 bytes each."""
+        if self._added(text):
+            ids = self._tok.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         if _ONLY_LATIN(text):
             words = _LATIN_SPACED(text) if self.spaced else _LATIN_WORDS(text.lower())
             return b"".join(map(self._words.__getitem__, words))

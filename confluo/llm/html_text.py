@@ -1,14 +1,21 @@
 """Main text of HTML pages by the maximum-scoring subsequence.
 
 A page is a sequence of words and tags. Words score by the element that holds them, positive where labelled pages have
-such words in their article more often than outside; tags score below zero. The contiguous run of the highest sum,
-found in one linear scan, is the content region. Scripts, styles, comments, forms and elements that say of themselves
-to be navigation, notices, adverts or reader comments are left out before the scan, wherever they are.
-
-Labelled pages are those that mark their article themselves (an article element); a bounded sample of them is counted.
-
-Defined results: null or empty html gives an empty text; pages without words too; unclosed elements end with the page;
-repeated rows are each extracted; an empty table gives no rows; other columns are ignored.
+such words in their article more often than outside; tags score below zero. Class, id and role names of elements are a
+learned feature too: a name whose words labelled pages have mostly outside their article lowers the score of all words
+below it. The contiguous run of the highest sum, found in one linear scan, is the content region; words in it below a
+name that is STRONG outside are no part of the text. The few names of PRIOR, which stand for reader comments and adverts
+even inside an article element, have such a weight from the start, as whole names only; no other is known beforehand. Left out before the scan are only
+elements that HTML itself defines as something else (scripts, styles, forms, nav, aside, footer, a header outside an
+article, and so on) and those with the attribute hidden.
+
+Labelled pages are those that mark their article themselves (an article element); a bounded sample of distinct ones is
+counted. Pages need no such mark to be extracted.
+
+Tags are found in time linear in the page: a tag ends at the first > outside quotes, and one that comes to another <
+first is text. Defined results: null or empty html gives an empty text; pages without words too; unclosed elements end
+with the page; repeated rows are each extracted; of two regions with one sum the first is taken; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,98 +35,114 @@ from .common import short_batches
 
 #: Bound on labelled pages for the fit, those of the lowest hashes; equal pages count as one.
 SAMPLE_PAGES = 2_000
+#: Names are a feature from so many words on; log-odds from which words are no part of the text.
+LEAST_WORDS, STRONG = 20, -2.0
 
 # Element names of the HTML standard by their use.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title head".split())
 LEFT_OUT = frozenset("nav footer aside form button menu dialog label input fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-# Words in class, id or role that name what is no part of an article.
-HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
-)
-#: Words join elements that hints would leave out, if they are one of these.
-_KEPT = frozenset("html body article main h1 p".split())
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NONE = re.compile(r"display\s*:\s*none", re.I)
-_PART = re.compile(r"[a-z]+")
-
-
-def _hinted(attributes: str) -> bool:
-    """Whether attributes hide the element, or a whole name in them (a class, id or role) is made of hints alone."""
-    for m in _ATTRIBUTE.finditer(attributes or ""):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NONE.search(value):
-            return True
-        if name in ("class", "id", "role", "aria-label"):
-            for token in [value] if name == "aria-label" else value.split():
-                parts = _PART.findall(token.lower())
-                if parts and all(w in HINTS for w in parts):
-                    return True
-    return False
 
+# Whole names of reader comments and adverts.
+PRIOR = tuple("comment comments comment-list commentlist reader-comments user-comments disqus_thread respond ad ads advert advertisement sponsored".split())
 
-#: (kind, name or text): kinds are 0 text, 1 opening tag, 2 closing tag.
-Token = tuple[int, str]
-
+_COMMENT_END = re.compile(r"--!?>")
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/><]*)")
+_BREAK = re.compile(r"[\"'<>]")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 
-def tokens(html: str) -> list[Token]:
-    """Words and tags of a page, without what is never content."""
-    found: list[tuple[int, str, str]] = []
-    at, end = 0, len(html)
-    while at < end:
-        m = _TAG.search(html, at)
-        if m is None:
-            found.append((0, html[at:], ""))
-            break
-        if m.start() > at:
-            found.append((0, html[at : m.start()], ""))
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
-            continue
-        if m[1]:
-            found.append((2, name, ""))
-        elif name in RAW and name != "head" and not m[3].rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-            at = close.end() if close else end
+#: (kind, name or text, attributes): kinds are 0 text, 1 opening tag, 2 closing tag.
+Token = tuple[int, str, str]
+
+
+def _attributes(more: str) -> tuple[bool, list[str]]:
+    """Whether attributes hide the element, and the names it has by class, id and role."""
+    hidden, names = False, []
+    for m in _ATTRIBUTE.finditer(more):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key == "hidden" and value.lower() != "false" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _NONE.search(value):
+            hidden = True
+        elif key in ("class", "id", "role"):
+            names += [x[:48] for x in value.lower().split()[:8]]
+    return hidden, names
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Place of the > that ends a tag, or -1 if another < comes first."""
+    while m := _BREAK.search(html, at):
+        if m[0] == ">":
+            return m.start()
+        if m[0] == "<":
+            return -1
+        close = html.find(m[0], m.end())
+        if close < 0:
+            return html.find(">", m.end())
+        at = close + 1
+    return -1
+
+
+def _split(html: str) -> list[Token]:
+    """Texts and tags, without comments and what raw elements hold."""
+    found: list[Token] = []
+    at, start, last = 0, 0, html.rfind(">")
+    unclosed: set[str] = set()
+    while 0 <= (at := html.find("<", at)) <= last:
+        if html.startswith("<!--", at):
+            m = _COMMENT_END.search(html, at + 4)
+            tag, end = None, m.end() if m else len(html)
+        elif html.startswith(("<!", "<?"), at):
+            tag, end = None, html.find(">", at) + 1
         else:
-            found.append((1, name, m[3]))
-    return _without(found)
-
+            tag = _NAME.match(html, at + 1)
+            stop = _tag_end(html, tag.end()) if tag else -1
+            if stop < 0:
+                at += 1
+                continue
+            end = stop + 1
+        if start < at:
+            found.append((0, html[start:at], ""))
+        if tag:
+            name, more = tag[2].lower(), html[tag.end() : end - 1]
+            if tag[1]:
+                found.append((2, name, ""))
+            elif name in RAW and name != "head" and not more.rstrip().endswith("/"):
+                m = None if name in unclosed else re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, end)
+                if m is None:
+                    unclosed.add(name)
+                stop = html.find(">", m.end()) if m else -1
+                end = stop + 1 if stop >= 0 else len(html)
+            else:
+                found.append((1, name, more))
+        at = start = end
+    if start < len(html):
+        found.append((0, html[start:], ""))
+    return found
 
-def _without(found: list[tuple[int, str, str]]) -> list[Token]:
-    """Leaves out whole elements by their name or what they say of themselves; one that never closes loses only its tag.
 
-    One that holds an article or main element stays, and on pages without these one that hints would leave out stays if
-    it holds most of the words.
-    """
+def tokens(html: str) -> list[Token]:
+    """Words and tags of a page, without elements that are never content; one of these that never closes loses only its tag."""
+    found = _split(html)
     closes = _matching(found)
-    mains, words = [0], [0]
-    for kind, name, more in found:
-        mains.append(mains[-1] + (kind == 1 and name in ("article", "main") and not _hinted(more)))
-        words.append(words[-1] + (len(name.split()) if kind == 0 else 0))
     out: list[Token] = []
     at, articles = 0, 0
     while at < len(found):
-        kind, name, attributes = found[at]
+        kind, name, more = found[at]
         if kind == 1 and name not in VOID:
-            named = name in LEFT_OUT or name == "head" or name == "header" and not articles
-            gone = named or name not in _KEPT and _hinted(attributes)
-            to = closes.get(at) if gone else None
-            if to is not None and mains[to] == mains[at] and (named or mains[-1] or 2 * (words[to] - words[at]) <= words[-1]):
-                at = to + 1
+            gone = name in LEFT_OUT or name == "head" or name == "header" and not articles or bool(more) and _attributes(more)[0]
+            if gone and name not in ("html", "body"):
+                at = closes.get(at, at) + 1
                 continue
             articles += name == "article"
         elif kind == 2:
             articles -= name == "article" and articles > 0
-        out.append((kind, name))
+        out.append(found[at])
         at += 1
     return out
 
 
-def _matching(found: list[tuple[int, str, str]]) -> dict[int, int]:
+def _matching(found: list[Token]) -> dict[int, int]:
     """Index of the closing tag of each opening one."""
     open_by: dict[str, list[int]] = {}
     out = {}
@@ -131,50 +154,67 @@ def _matching(found: list[tuple[int, str, str]]) -> dict[int, int]:
     return out
 
 
-def _in_context(found: list[Token]) -> Iterator[tuple[int, str, str, bool]]:
-    """Tokens with the element that words stand in, and whether inside an article."""
+Weights = dict[str, float]
+
+
+def _in_context(found: list[Token], w: Weights | None = None) -> Iterator[tuple[int, str, str, bool, list[str] | float]]:
+    """Tokens with the element that words stand in, whether inside an article, and the names of the nearest element that has some.
+
+    With weights, instead of the names the lowest weight of all names that a word is below, 0 if none.
+    """
+    closes = _matching(found)
+    ends: dict[int, list[str] | float] = {}
     block, links, articles = "", 0, 0
-    for kind, name in found:
+    names: list[str] | float = [] if w is None else 0.0
+    for i, (kind, name, more) in enumerate(found):
         if kind == 1:
             if name == "a":
                 links += 1
             elif name not in INLINE and name not in VOID:
                 block = name
             articles += name == "article"
+            if more and i in closes and (own := _attributes(more)[1]):
+                ends[closes[i]] = names
+                names = own if w is None else min(names, min(w.get("c:" + x, 0.0) for x in own))
         elif kind == 2:
             if name == "a":
                 links = max(0, links - 1)
             elif name not in INLINE:
                 block = f"/{name}"
             articles -= name == "article" and articles > 0
-        yield kind, name, f"{block}>a" if links else block, articles > 0
+            names = ends.pop(i, names)
+        yield kind, name, f"{block}>a" if links else block, articles > 0, names
 
 
-Weights = dict[str, float]
 #: Scores without labelled pages: a word, a word in a link, a tag.
-PLAIN: Weights = {"word": 1.0, "link": -0.5, "tag": -0.75}
+PLAIN: Weights = {"word": 1.0, "link": -0.5, "tag": -0.75} | {"c:" + x: -4.0 for x in PRIOR}
 
 
 def count_page(html: str) -> Counter:
-    """Of a labelled page: words by element and tags by name, inside (1) and outside (0) its article."""
+    """Of a labelled page: words by element and by names, and tags by name, inside (1) and outside (0) its article."""
     out: Counter = Counter()
-    for kind, name, where, inside in _in_context(tokens(html)):
+    for kind, name, where, inside, names in _in_context(tokens(html)):
         if kind == 0:
             if n := len(name.split()):
+                inside = inside and not any(x in PRIOR for x in names)
                 out["w:" + where, inside] += n
+                for x in names:
+                    out["c:" + x, inside] += n
         else:
             out["t:" + name, inside or name == "article"] += 1
     return out
 
 
 def weights(counts: dict[tuple[str, bool], int]) -> Weights:
-    """Log-odds of being inside, for words clipped to -2..2; tags score from -1.5 to -0.1."""
+    """Log-odds of being inside, for words clipped to -2..2 and for names where negative; tags score from -1.5 to -0.1."""
     out = dict(PLAIN)
     for key in {k[0] for k in counts}:
         yes, no = counts.get((key, True), 0), counts.get((key, False), 0)
         odds = math.log((yes + 1) / (no + 1))
-        if key[0] == "w" and yes + no >= 20:
+        if key[0] == "w" and yes + no >= LEAST_WORDS:
             out[key] = max(-2.0, min(2.0, odds if abs(odds) > 0.1 else 0.1))
+        elif key[0] == "c" and yes + no >= LEAST_WORDS and odds < -0.1:
+            out[key] = max(-4.0, odds)
         elif key[0] == "t":
             share = (yes + 1) / (yes + no + 2)
             out[key] = -0.1 - 1.4 * (1 - share)
@@ -185,10 +225,13 @@ def extract(html: str | None, w: Weights = PLAIN) -> str:
     """The text of the best contiguous region: blocks in page order, one to a line."""
     found = tokens(html or "")
     best, run, start, region = 0.0, 0.0, 0, (0, 0)
-    for i, (kind, name, where, _) in enumerate(_in_context(found)):
+    outside = bytearray(len(found))
+    for i, (kind, name, where, _, named) in enumerate(_in_context(found, w)):
+        outside[i] = named <= STRONG
         if kind == 0:
             n = len(name.split())
-            score = n * w.get("w:" + where, w["link"] if where.endswith(">a") else w["word"]) if n else 0.0
+            word = w.get("w:" + where, w["link"] if where.endswith(">a") else w["word"])
+            score = n * (min(word, named) if named < 0 else word) if n else 0.0
         else:
             score = w.get("t:" + name, w["tag"])
         if run <= 0:
@@ -197,9 +240,10 @@ def extract(html: str | None, w: Weights = PLAIN) -> str:
         if run > best:
             best, region = run, (start, i + 1)
     lines, block = [], []
-    for kind, name in [*found[slice(*region)], (1, "p")]:
+    for i, (kind, name, _) in enumerate([*found[slice(*region)], (1, "p", "")], region[0]):
         if kind == 0:
-            block.append(name)
+            if not outside[i]:
+                block.append(name)
         elif name not in INLINE:
             if line := " ".join(unescape("".join(block)).split()):
                 lines.append(line)
@@ -219,9 +263,10 @@ def fit(pages: DataFrame, rows: int = SAMPLE_PAGES, html: str = "html") -> Weigh
             yield pd.DataFrame([(k[:64], i, n) for (k, i), n in total.items()], columns=["key", "inside", "n"])
 
     labelled = pages.where(F.col(html).rlike("(?i)<article")).select(F.col(html).alias("html"))
-    # Hashes alone are ordered; the pages up to the last one follow without an exchange.
-    last = labelled.select(F.xxhash64("html").alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    # Hashes alone are ordered, each once; the pages up to the last one follow, one for each hash.
+    last = labelled.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     sample = labelled.where(F.xxhash64("html") <= F.lit(last)) if last is not None else labelled.limit(0)
+    sample = sample.groupBy(F.xxhash64("html").alias("h")).agg(F.min("html").alias("html")).select("html")
     sums = sample.mapInPandas(counted, "key string, inside boolean, n long").groupBy("key", "inside").agg(F.sum("n").alias("n"))
     return weights({(r.key, r.inside): r.n for r in sums.orderBy(F.desc("n"), "key", "inside").limit(1000).collect()})
 

@@ -1,18 +1,20 @@
 """SentencePiece encoding with seeded merge dropout, and decoding.
 
 The pieces and scores of a merge-type model drive an agenda: of all candidate merges of two neighbours, the one of the
-highest score, then the leftmost, comes first. A candidate is skipped for good if a hash keyed by seed, stream, word and
-place falls below the dropout rate; otherwise the two symbols merge and new candidates arise. Without dropout the ids
-are the library's own. The hash is all the chance there is, so any task gives a text the same ids again.
+highest score, then the leftmost, comes first. A candidate is skipped for good if its keyed hash falls below the dropout
+rate; otherwise the two symbols merge and new candidates arise. The key of a candidate is made of seed, document, place
+of the word in the document and the candidate's turn on the agenda, so every occurrence of a word draws for itself, and
+any task gives a text the same ids again. Without dropout the ids are the library's own. Rates are multiples of 2 ** -16.
 
-No piece joins a word to the next one's leading space, so words are encoded one by one. Documents are dealt over a few
-streams by a keyed hash of their id; within a stream a word has one segmentation, which a bounded memo keeps, and another
-seed varies all of them. Distinct words of a batch run their agendas together, as rows of arrays.
+No piece joins a word to the next one's leading space, so words are encoded one by one. An occurrence's draws decide
+which turns are skipped; what a word becomes by given skipped turns is kept in a bounded memo, and so is the number of
+turns, which tells without an agenda that an occurrence skips nothing.
 
 Characters without a piece become byte pieces, among them the model's own space mark, so every text decodes to itself.
 
-Defined results: a null or empty text has no ids and decodes to an empty one; a null doc_id is in stream 0; repeated
-rows have equal ids; an empty table gives no rows.
+Defined results: a null or empty text has no ids and decodes to an empty one; a null doc_id has a key of its own;
+rows that repeat a doc_id draw alike, so repeated rows have equal ids; of equal scores the leftmost merge comes first;
+words of any length are encoded whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,32 +24,45 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
 from .common import short_batches, texts
 
 RATE = 0.1
-STREAMS = 4
-#: Words kept in a worker's memo, about 250 bytes each.
-MEMO_WORDS = 700_000
-#: Words whose agendas run together: few enough for their arrays to stay in a processor's cache.
-TOGETHER = 2_000
-#: Longer words run their agenda on a heap, one by one.
-LONG = 32
+#: Entries of each of a worker's two memos, about 250 bytes each.
+MEMO_WORDS = 600_000
+#: Longer words run their agenda on a heap and are not kept.
+LONG = 48
+#: Turns whose draws are made for all words of a text together.
+TURNS = 8
 
 SPACE = "▁"
+#: Stands for a literal space mark in symbols; no piece has this noncharacter.
+_NO_SPACE = "\uffff"
 _WORD = re.compile(r" *[^ \n]+|\n| +").findall
-_M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+_M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _MASK = (1 << 64) - 1
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(LONG + 1)]
 
 
 def _mixed(x: int) -> int:
-    x = (x ^ (x >> 32)) * _M2 & _MASK
-    return x ^ (x >> 29)
+    x = (x ^ (x >> 30)) * _M2 & _MASK
+    x = (x ^ (x >> 27)) * _M3 & _MASK
+    return x ^ (x >> 31)
+
+
+def _mixed_all(x: np.ndarray) -> np.ndarray:
+    """_mixed of unsigned 64-bit integers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_M2)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_M3)
+    return x ^ (x >> np.uint64(31))
 
 
 class Pieces:
@@ -60,174 +75,160 @@ class Pieces:
         n = sp.get_piece_size()
         self.bytes_at = next(i for i in range(n) if sp.is_byte(i))
         self.id_of = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-        self.score = np.array([sp.get_score(i) for i in range(n)])
-        self.length = np.array([len(sp.id_to_piece(i)) for i in range(n)])
         self.text = [b""] * n
         for p, i in self.id_of.items():
             self.text[i] = p.replace(SPACE, " ").encode()
         for b in range(256):
             self.text[self.bytes_at + b] = bytes([b])
-        found = {}
-        for p, i in self.id_of.items():
-            for k in range(1, len(p)):
-                if (a := self.id_of.get(p[:k])) is not None and (b := self.id_of.get(p[k:])) is not None:
-                    found[a << 20 | b] = i
-        self.merge = found
-        self.keys = np.array(sorted(found), dtype=np.int64)
-        self.merged = np.array([found[k] for k in self.keys.tolist()], dtype=np.int32)
         # Scores by rank, from 0; pieces of equal scores share one.
-        self.rank = np.unique(self.score, return_inverse=True)[1].astype(np.int32)
-
-    def best_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Piece of each two neighbours, or -1."""
-        key = left.astype(np.int64) << 20 | right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), self.merged[at], -1)
+        rank = np.unique([sp.get_score(i) for i in range(n)], return_inverse=True)[1].tolist()
+        self.rank = {p: rank[i] for p, i in self.id_of.items() if len(p) > 1}
+        self.encode = sp.encode
 
 
 class Encoder(dict):
-    """Ids of words, as little-endian unsigned 32-bit integers, by (stream, word)."""
+    """(ids as little-endian unsigned 32-bit integers, turns) of words without a skipped turn; ``varied`` has the others by (word, skipped turns)."""
 
     def __init__(self, path: str, rate: float, seed: int):
         super().__init__()
-        self.pieces, self.rate, self.seed = Pieces(path), rate, seed
-        self.limit = int(rate * (1 << 64)) if rate < 1 else _MASK
-
-    # The chance of a merge: the word's key and the merge's place and lengths.
-
-    def _key(self, stream: int, word: str) -> int:
-        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), seed=(self.seed * 1_000_003 + stream) & _MASK)
-
-    def _skips(self, key: int, start: int, left: int, right: int) -> bool:
-        return self.rate > 0 and _mixed((key + (start << 42 | left << 21 | right) * _M1) & _MASK) < self.limit
-
-    def _symbols(self, word: str) -> list[int]:
-        get = self.pieces.id_of.get
-        # A literal space mark is no space; bytes carry it.
-        return [get(SPACE if c == " " else c, -1) for c in word] if SPACE not in word else [-1 if c == SPACE else get(SPACE if c == " " else c, -1) for c in word]
-
-    def _packed(self, word: str, ids: list[int], lengths: list[int]) -> bytes:
-        if -1 in ids:
-            out, at = [], 0
-            for i, n in zip(ids, lengths, strict=True):
-                out += [i] if i >= 0 else [self.pieces.bytes_at + b for b in word[at : at + n].encode("utf-8", "surrogatepass")]
-                at += n
-            ids = out
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def one(self, stream: int, word: str) -> bytes:
-        """A word by a heap agenda."""
-        p, key = self.pieces, self._key(stream, word)
-        ids = self._symbols(word)
-        n = len(ids)
-        nxt, prev, width, alive = [*range(1, n), -1], [*range(-1, n - 1)], [1] * n, [True] * n
-        agenda: list[tuple[float, int, int, int, int]] = []
+        self.pieces, self.seed, self.varied = Pieces(path), seed, {}
+        self.limit = round(rate * (1 << 16))
+
+    # The chance of a turn: four draws of 16 bits in each hash of an occurrence's key.
+
+    def key(self, doc_id: int | None) -> int:
+        return xxhash.xxh3_64_intdigest(b"" if doc_id is None else struct.pack("<q", doc_id), seed=self.seed & _MASK)
+
+    def skips(self, key: int, turn: int) -> bool:
+        return (_mixed((key + (turn >> 2) * _M1) & _MASK) >> 16 * (turn & 3)) & 0xFFFF < self.limit
+
+    def _draws(self, key: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of a text's n words, and a bit for each of their first TURNS turns that is skipped."""
+        with np.errstate(over="ignore"):
+            keys = _mixed_all(np.uint64(key) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_M3))
+            bits = np.zeros(n, dtype=np.int64)
+            for turn in range(0, TURNS, 4):
+                drawn = _mixed_all(keys + np.uint64((turn >> 2) * _M1 & _MASK)).view("<u2").reshape(-1, 4)
+                for k in range(4):
+                    bits |= (drawn[:, k] < self.limit).astype(np.int64) << (turn + k)
+        return keys, bits
+
+    @staticmethod
+    def _symbols(word: str) -> list[str]:
+        """One for each character; a literal space mark is no space and has none of the vocabulary's pieces."""
+        return list(word.replace(SPACE, _NO_SPACE).replace(" ", SPACE))
+
+    def _packed(self, symbols: list[str]) -> bytes:
+        get = self.pieces.id_of.__getitem__
+        try:
+            out = list(map(get, symbols))
+        except KeyError:
+            out, known = [], self.pieces.id_of
+            for x in symbols:
+                out += [known[x]] if x in known else [self.pieces.bytes_at + b for b in x.replace(_NO_SPACE, SPACE).encode("utf-8", "surrogatepass")]
+        return _PACKERS[len(out)](*out) if len(out) < len(_PACKERS) else struct.pack(f"<{len(out)}I", *out)
+
+    def short(self, word: str, skipped: int) -> tuple[bytes, int]:
+        """A word by its skipped turns (a bit each), and its number of turns."""
+        rank, x = self.pieces.rank.get, self._symbols(word)
+        best = list(map(rank, map(add, x, x[1:]), repeat(-1)))
+        turn = 0
+        while best and (top := max(best)) >= 0:
+            j = best.index(top)
+            if skipped >> turn & 1:
+                best[j] = -1
+            else:
+                x[j] = m = x[j] + x.pop(j + 1)
+                del best[j]
+                if j:
+                    best[j - 1] = rank(x[j - 1] + m, -1)
+                if j < len(best):
+                    best[j] = rank(m + x[j + 1], -1)
+            turn += 1
+        return self._packed(x), turn
+
+    def long(self, word: str, key: int) -> bytes:
+        """A word of any length by a heap agenda."""
+        rank, x = self.pieces.rank.get, self._symbols(word)
+        n, turn = len(x), 0
+        nxt, prev = [*range(1, n), -1], [*range(-1, n - 1)]
+        agenda: list[tuple[int, int, str]] = []
 
         def offer(a: int, b: int) -> None:
-            if ids[a] >= 0 and ids[b] >= 0 and (m := p.merge.get(ids[a] << 20 | ids[b])) is not None:
-                heapq.heappush(agenda, (-p.score[m], a, width[a], width[b], m))
+            if (r := rank(m := x[a] + x[b])) is not None:
+                heapq.heappush(agenda, (-r, a, m))
 
         for a in range(n - 1):
             offer(a, a + 1)
         while agenda:
-            _, a, wa, wb, m = heapq.heappop(agenda)
-            b = nxt[a] if alive[a] else -1
-            if b < 0 or width[a] != wa or width[b] != wb or self._skips(key, a, wa, wb):
+            _, a, m = heapq.heappop(agenda)
+            # Merged symbols leave an empty string behind.
+            b = nxt[a] if x[a] else -1
+            if b < 0 or x[a] + x[b] != m:
+                continue
+            turn += 1
+            if self.skips(key, turn - 1):
                 continue
-            ids[a], width[a], alive[b] = m, wa + wb, False
-            nxt[a] = nxt[b]
+            x[a], x[b], nxt[a] = m, "", nxt[b]
             if nxt[b] >= 0:
                 prev[nxt[b]] = a
                 offer(a, nxt[a])
             if prev[a] >= 0:
                 offer(prev[a], a)
-        kept = [i for i in range(n) if alive[i]]
-        return self._packed(word, [ids[i] for i in kept], [width[i] for i in kept])
-
-    def many(self, asked: list[tuple[int, str]]) -> None:
-        """Encodes (stream, word) keys into the memo; words of like length run together."""
-        by_length: dict[int, list[tuple[int, str]]] = {}
-        for k in asked:
-            n = len(k[1])
-            if n > LONG:
-                self[k] = self.one(*k)
-            else:
-                by_length.setdefault(-(-n // 3) * 3, []).append(k)
-        for n, keys in sorted(by_length.items()):
-            for at in range(0, len(keys), TOGETHER):
-                self._together(keys[at : at + TOGETHER], n)
-
-    def _together(self, keys: list[tuple[int, str]], n: int) -> None:
-        p, rows = self.pieces, len(keys)
-        ids = np.full((rows, n + 1), -2, dtype=np.int32)
-        for r, (_, w) in enumerate(keys):
-            ids[r, : len(w)] = self._symbols(w)
-        seeds = np.array([self._key(*k) for k in keys], dtype=np.uint64)
-        width = np.ones((rows, n + 1), dtype=np.int32)
-        merged = np.full((rows, n), -1, dtype=np.int32)
-        merged[:] = p.best_of(ids[:, :-1], ids[:, 1:])
-        score = np.where(merged >= 0, p.rank[merged], np.int32(-1))
-        live, place = np.arange(rows), np.arange(n)
-        out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * rows
-        limit, m1, m2 = np.uint64(self.limit), np.uint64(_M1), np.uint64(_M2)
-        while len(live):
-            j = score.argmax(axis=1)
-            r = np.arange(len(live))
-            on = score[r, j] >= 0
-            if not on.all():
-                for k in np.flatnonzero(~on):
-                    out[live[k]] = (ids[k], width[k])
-                live, ids, width, merged, score, seeds, j = live[on], ids[on], width[on], merged[on], score[on], seeds[on], j[on]
-                if not len(live):
-                    break
-                r = np.arange(len(live))
-            wa, wb = width[r, j], width[r, j + 1]
-            if self.rate > 0:
-                start = (np.cumsum(width, axis=1)[r, j] - wa).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    x = seeds + (start << np.uint64(42) | wa.astype(np.uint64) << np.uint64(21) | wb.astype(np.uint64)) * m1
-                    x = (x ^ (x >> np.uint64(32))) * m2
-                    x ^= x >> np.uint64(29)
-                skip = x < limit
-                score[r[skip], j[skip]] = -1
-                go = r[~skip]
-            else:
-                go = r
-            if not len(go):
-                continue
-            jj = j[go]
-            to, w = merged[go, jj], wa[go] + wb[go]
-            # Symbols right of the merge move one to the left, and so do their candidates.
-            source = np.minimum(place[None, :] + (place[None, :] > jj[:, None]), n)
-            ids[go, :n] = np.take_along_axis(ids[go], source, axis=1)
-            width[go, :n] = np.take_along_axis(width[go], source, axis=1)
-            ids[go, n], width[go, n] = -2, 1
-            cand = np.minimum(source, n - 1)
-            last = source > n - 1
-            m, s = np.take_along_axis(merged[go], cand, axis=1), np.take_along_axis(score[go], cand, axis=1)
-            m[last], s[last] = -1, -1
-            merged[go], score[go] = m, s
-            ids[go, jj], width[go, jj] = to, w
-            for side in (jj - 1, jj):
-                ok = side >= 0
-                g, q = go[ok], side[ok]
-                found = p.best_of(ids[g, q], ids[g, q + 1])
-                merged[g, q], score[g, q] = found, np.where(found >= 0, p.rank[found], np.int32(-1))
-        for k, (row, w) in zip(keys, out, strict=True):
-            kept = row > -2
-            got, widths = row[kept].tolist(), w[kept].tolist()
-            self[k] = self._packed(k[1], got, widths)
-
-    def batch(self, items: list[tuple[int, str]]) -> list[bytes]:
-        """Ids of whole texts, given with their streams."""
-        words = [(s, _WORD(" " + t)) if t else (s, []) for s, t in items]
-        if len(self) > MEMO_WORDS:
+        return self._packed([s for s in x if s])
+
+    def __missing__(self, word: str) -> tuple[bytes, int]:
+        out = self.short(word, 0) if len(word) <= LONG else (b"", -1)
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        if out[1] >= 0:
+            self[word] = out
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """New words without a skipped turn by the library itself; a turn is a merge, so symbols less pieces are the turns."""
+        new = [w for w in dict.fromkeys(words) if w not in self and len(w) <= LONG and w[0] == " " and SPACE not in w]
+        if len(self) + len(new) > MEMO_WORDS:
             self.clear()
-        new = dict.fromkeys(k for s, ws in words for k in ((s, w) for w in ws) if k not in self)
-        if new:
-            self.many(list(new))
-        return [b"".join([self[s, w] for w in ws]) for s, ws in words]
+        lo = self.pieces.bytes_at
+        for w, ids in zip(new, self.pieces.encode([w[1:] for w in new], num_threads=1) if new else [], strict=True):
+            if not any(lo <= i < lo + 256 for i in ids):
+                self[w] = _PACKERS[len(ids)](*ids), len(w) - len(ids)
+
+    def _occurrence(self, word: str, turns: int, key: int, bits: int) -> bytes:
+        """A word of which the first skipped turn lies within its agenda."""
+        skipped, turn, found = 0, 0, None
+        while turn < turns:
+            if bits >> turn & 1 if turn < TURNS else self.skips(key, turn):
+                skipped |= 1 << turn
+                found = self.varied.get((word, skipped))
+                if found is None:
+                    if len(self.varied) >= MEMO_WORDS:
+                        self.varied.clear()
+                    found = self.varied[word, skipped] = self.short(word, skipped)
+                turns = found[1]
+            turn += 1
+        return self[word][0] if found is None else found[0]
+
+    def ids(self, doc_id: int | None, text: str) -> bytes:
+        """Ids of a whole text."""
+        if not text:
+            return b""
+        words = _WORD(" " + text)
+        self._learn(words)
+        found = [self[w] for w in words]
+        out = [x[0] for x in found]
+        turns = np.array([x[1] for x in found])
+        if not self.limit:
+            for i in np.flatnonzero(turns < 0).tolist():
+                out[i] = self.long(words[i], 0)
+            return b"".join(out)
+        keys, bits = self._draws(self.key(doc_id), len(words))
+        inside = (np.int64(1) << np.clip(turns, 0, TURNS)) - 1
+        for i in np.flatnonzero((turns < 0) | (turns > TURNS) | (bits & inside != 0)).tolist():
+            n = int(turns[i])
+            out[i] = self.long(words[i], int(keys[i])) if n < 0 else self._occurrence(words[i], n, int(keys[i]), int(bits[i]))
+        return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
         text = self.pieces.text
@@ -246,29 +247,32 @@ def encoder(path: str, rate: float = RATE, seed: int = 0) -> Encoder:
     return _LOADED[key]
 
 
-def stream_of(doc_id: int | None, streams: int, seed: int) -> int:
-    return 0 if doc_id is None else xxhash.xxh3_64_intdigest(struct.pack("<q", doc_id), seed=seed & _MASK) % streams
-
-
-def encode(docs: DataFrame, model: str, *, rate: float = RATE, seed: int = 0, streams: int = STREAMS, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, stream, n_tokens, ids_crc32 of the little-endian unsigned 32-bit ids, decoded (whether they decode to the text), and the ids."""
+def encode(docs: DataFrame, model: str, *, rate: float = RATE, seed: int = 0, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 of the little-endian unsigned 32-bit ids, decoded (whether they decode to the text), and the ids."""
+    if not 0 <= rate <= 1:
+        raise ValueError("the rate is from 0 to 1")
     short_batches(docs.sparkSession)
-    columns = "doc_id long, stream int, n_tokens long, ids_crc32 long, decoded boolean" + (", ids array<int>" if with_ids else "")
+    columns = "doc_id long, n_tokens long, ids_crc32 long, decoded boolean" + (", ids array<int>" if with_ids else "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(model, rate, seed)
         for batch in batches:
-            numbers = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
-            items = [(stream_of(i, streams, seed), t) for i, t in zip(numbers, batch["text"], strict=True)]
-            rows = []
-            for i, (s, t), ids in zip(numbers, items, code.batch(items), strict=True):
+            cols: list[list] = [[] for _ in range(3)]
+            held = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                ids = code.ids(doc, text)
                 values = np.frombuffer(ids, "<u4")
-                row = (i, s, len(values), zlib.crc32(ids), code.decode(values) == t)
-                rows.append((*row, values.astype(np.int32)) if with_ids else row)
-            names = [x.split()[0] for x in columns.split(", ")]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), texts(docs, text).alias("text")).mapInPandas(run, columns)
+                for c, v in zip(cols, (len(values), zlib.crc32(ids), code.decode(values) == text), strict=True):
+                    c.append(v)
+                if with_ids:
+                    held.append(pa.array(values.astype(np.int32)))
+            arrays = [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())]
+            if with_ids:
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cols[0])].astype(np.int32)), pa.concat_arrays(held) if held else pa.array([], pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in columns.split(", ")])
+
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), texts(docs, text).alias("text")).mapInArrow(run, columns)
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:

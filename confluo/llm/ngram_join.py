@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import maybe, table_of
-from .common import dropped, saved, short_batches, texts
+from .common import batches, dropped, saved, texts
 from .components import connected
 from .shingles import shingle_set
 
@@ -217,7 +217,6 @@ class _Join:
 
     def __init__(self, docs: DataFrame, width: int, percent: int, doc_id: str, text: str):
         self.spark, self.width, self.percent = docs.sparkSession, width, percent
-        short_batches(self.spark)
         self.texts = docs.select(docs[doc_id].cast("long").alias("id"), texts(docs, text).alias("text"))
         often = self.spark.sparkContext.broadcast(frequent(self.texts, width))
         self.all, _ = saved(self.texts.mapInArrow(_described(width, percent, often), "doc_id long, n long, digest binary, light array<long>, heavy array<long>"), "first-pivots")
@@ -320,4 +319,5 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: st
     """(doc_id, n_shingles, component_id) of every row: the smallest doc_id reachable by links of Jaccard similarity percent / 100 or more."""
     if not 50 < percent <= 100:
         raise ValueError("percent is above 50 and at most 100")
-    return _Join(docs, width, percent, doc_id, text).run()
+    with batches(docs.sparkSession):
+        return _Join(docs, width, percent, doc_id, text).run()

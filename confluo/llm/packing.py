@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, short_batches, texts
+from .common import batches, saved, texts
 from .encoder import encoder
 
 MAX_LENGTH = 1024
@@ -76,9 +76,9 @@ def decompose(docs: DataFrame, vocabulary: str, *, end_id: int | None, longest:
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest is a power of two")
-    short_batches(docs.sparkSession)
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), texts(docs, text).alias("text"))
-    cut_up, _ = saved(rows.mapInArrow(_pieces(vocabulary, end_id, longest, with_ids), PIECES + (", ids array<int>" if with_ids else "")), "pieces")
+    with batches(docs.sparkSession):
+        cut_up, _ = saved(rows.mapInArrow(_pieces(vocabulary, end_id, longest, with_ids), PIECES + (", ids array<int>" if with_ids else "")), "pieces")
     counts = cut_up.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts, _ = saved(counts.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "piece-counts")

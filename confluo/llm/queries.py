@@ -28,8 +28,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     for lo, hi in ARRIVALS:
         store.append(docs.where((eighth >= lo) & (eighth < hi)), rows_per_shard=ARRIVAL_ROWS)
     done = store.compact()
-    rows = store.read().select("doc_id", F.length("text").cast("long").alias("text_chars"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), F.col("_metadata.file_name").alias("file_name"))
-    return rows.join(F.broadcast(store.listed().select("file_name", "shard", F.col("n_bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"))), "file_name").select("doc_id", "text_chars", "text_crc32", "shard", "shard_bytes", "shard_rows", F.lit(done.version).cast("long").alias("version"))
+    file = F.col("_metadata.file_path").alias("path")
+    rows = store.read().select("doc_id", F.length("text").cast("long").alias("text_chars"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), file)
+    shards_of = store.listed().select("path", F.col("n_bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"))
+    joined = rows.join(shards_of, "path").select("doc_id", "text_chars", "text_crc32", F.element_at(F.split("path", "/"), -1).alias("shard"), "shard_bytes", "shard_rows")
+    return joined.withColumn("version", F.lit(done.version).cast("long"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from confluo.llm import cap_filters, dac, html_text, licenses, line_dedup, merge
 from confluo.llm.encoder import Encoder, vocabulary
 
 DOCS = "doc_id long, text string, extra int"
-ODD = ["", "  a  b\n\n c\t\td ", "İstanbul ΣΑΣ σ", "don't WE'RE x'll", "a\x1cb \x7f", "日本語 テキスト", "é ß ſ", "<|endoftext|>", " \n a \n", "x" * 200]
+ODD = ["", "  a  b\n\n c\t\td ", "İstanbul ΣΑΣ σ", "don't WE'RE x'll", "a\x1cb \x7f", "日本語 テキスト", "é ß ſ", "<|endoftext|>", "a<|endoftext|>b <|STARTOFTEXT|> 日本<|startoftext|>", " \n a \n", "x" * 200]
 
 
 def docs_of(spark, texts):
@@ -22,7 +22,6 @@ def test_encoder_equals_library(name):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(vocabulary(name))
-    plain.encode_special_tokens = True
     own = Encoder(vocabulary(name), entries=8)
     for text in ODD:
         ids = own.ids(text)
@@ -117,9 +116,9 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch):
 def test_line_dedup(spark):
     line = "The quick brown fox jumps over the lazy dog near the river bank"
     near = line + "s"
-    texts = [f"{line}\nshort\n", f"{near}\nshort\nsomething else entirely is written in this line", line, None, ""]
+    texts = [f"{line}\nshort\n", f"{near}\nshort\n \nsomething else entirely is written in this line", line, None, "", "short\nshort\nshorn\nx"]
     out = {r.doc_id: (r.text, r.gone) for r in line_dedup.dedup(docs_of(spark, texts), removed="gone").collect()}
-    assert out == {0: (texts[0], 0), 1: ("short\nsomething else entirely is written in this line", 1), 2: ("", 1), 3: (None, 0), 4: ("", 0)}
+    assert out == {0: (texts[0], 0), 1: (" \nsomething else entirely is written in this line", 2), 2: ("", 1), 3: (None, 0), 4: ("", 0), 5: ("shorn\nx", 2)}
 
 
 def test_line_dedup_joins_families(spark, monkeypatch):
@@ -185,15 +184,41 @@ def test_merge_dropout():
 
     path = vocabulary("piece_bpe_32k.model")
     sp, plain, dropped = sentencepiece.SentencePieceProcessor(model_file=path), merge_dropout.Encoder(path, 0.0, 0), merge_dropout.Encoder(path, 0.3, 7)
-    for text in [*ODD, "some ordinary words in a sentence, repeated words"]:
-        ids = np.frombuffer(plain.batch([(0, text)])[0], "<u4")
+    for text in [*ODD, "some ordinary words in a sentence, repeated words", "long" * 200]:
+        ids = np.frombuffer(plain.ids(0, text), "<u4")
         assert ids.tolist() == sp.encode(text)
-        for k in range(2):
-            varied = np.frombuffer(dropped.batch([(k, text)])[0], "<u4")
+        for k in (None, 1, 2):
+            varied = np.frombuffer(dropped.ids(k, text), "<u4")
             assert dropped.decode(varied) == text
-    assert dropped.batch([(0, "segmentation")]) != plain.batch([(0, "segmentation")])
-    assert plain.decode(np.frombuffer(plain.batch([(0, "▁x")])[0], "<u4")) == "▁x"
-    assert all(dropped[k] == dropped.one(*k) for k in list(dropped))
+    assert plain.decode(np.frombuffer(plain.ids(0, "▁x"), "<u4")) == "▁x"
+
+
+def test_merge_dropout_draws_for_each_occurrence():
+    """Draws are those of each turn's own hash; a word varies within a document, and about the asked share of turns is skipped."""
+    path = vocabulary("piece_bpe_32k.model")
+    code = merge_dropout.Encoder(path, 0.1, 3)
+    keys, bits = code._draws(code.key(9), 400)
+    assert all(int(b) >> t & 1 == code.skips(int(k), t) for k, b in zip(keys, bits, strict=True) for t in range(merge_dropout.TURNS))
+    assert 0.085 < np.mean([int(b).bit_count() / merge_dropout.TURNS for b in code._draws(code.key(1), 5_000)[1]]) < 0.115
+    for word in (" segmentation", " internationalization of everything"[:30], "x"):
+        kinds = set()
+        for k, b in zip(keys.tolist(), bits.tolist(), strict=True):
+            found = code._occurrence(word, code[word][1], k, b)
+            assert found == code.long(word, k)
+            kinds.add(found)
+        assert (len(kinds) > 8) == (len(word) > 1)
+
+
+def test_merge_dropout_tables(spark):
+    path = vocabulary("piece_bpe_32k.model")
+    texts = [None, "", "a b", "a b", "naïve café ▁ 日本語 \U0001f600", "word " * 500]
+    docs = spark.createDataFrame([(k % 5 if k < 5 else None, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, ids string, n_tokens int")
+    out = merge_dropout.encode(docs, path, seed=4)
+    rows = out.collect()
+    assert len(rows) == len(texts) and all(r.decoded for r in rows)
+    assert sorted(r.text for r in merge_dropout.decode(out, path).collect()) == sorted(t or "" for t in texts)
+    assert [tuple(r) for r in merge_dropout.encode(docs.repartition(3), path, seed=4).where("doc_id = 2").collect()] == [tuple(r) for r in rows if r.doc_id == 2]
+    assert merge_dropout.encode(docs.limit(0), path).count() == 0
 
 
 def test_html_extraction():
@@ -207,7 +232,33 @@ def test_html_extraction_keeps_articles_in_named_wrappers():
     article = "<article><h1>Title</h1><p>Over <a href='/the-hidden-valley'>the valley</a> we went on.</p></article>"
     for attributes in ("class='overflow-hidden'", "class='content with-sidebar'", "class=no-sidebar", "class=nav-open", "class=search-results", "class=social-studies", "class=widget"):
         page = f"<body><nav>Menu here</nav><div {attributes}>{article}</div><div class=comments>me too</div><div hidden>no</div></body>"
-        assert "".join(x for kind, x in html_text.tokens(page) if kind == 0) == "TitleOver the valley we went on."
+        assert html_text.extract(page, html_text.weights(html_text.count_page(page))) == "Title\nOver the valley we went on."
+
+
+def test_html_extraction_drops_nothing_else():
+    w = html_text.weights(html_text.count_page("<nav>menu " + "x " * 30 + "</nav><div class=box>" + "out " * 30 + "</div><article><p>" + "in " * 90 + "</p></article>"))
+    assert html_text.extract("<article><p>Some first words here</p><section id='search-trees'>four five six</section><p class='notice'>seven &amp; eight</p></article>", w) == "Some first words here\nfour five six\nseven & eight"
+    assert html_text.extract("<p>if a < b and c <d or e</p><p>then f</p>") == "if a < b and c <d or e\nthen f"
+    assert html_text.extract('<p title="a > b" data-x=\'"\'>one two</p>') == "one two"
+    assert html_text.extract("<div class=box>" + "not this " * 9 + "</div><h1>Good</h1><p>" + "yes " * 9 + "</p>", w) == "Good\n" + ("yes " * 9).strip()
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '\">", "<!", "<script>", "<a <b>", "<!--", "<b x='"])
+def test_html_extraction_is_linear(piece):
+    import time
+
+    began = time.time()
+    html_text.extract(piece * 100_000 + "<p>some words</p>")
+    assert time.time() - began < 20
+
+
+def test_html_extraction_tables(spark):
+    page = "<body><nav>menu entry</nav><article><p>" + "word " * 40 + "</p></article></body>"
+    pages = spark.createDataFrame([(k, p, "t") for k, p in enumerate([page] * 30 + [None, "", "x" * 100_000])], "page_id long, html string, text string")
+    w = html_text.fit(pages, rows=5)
+    out = {r.page_id: r.text for r in html_text.with_text(pages, w).collect()}
+    assert out[0] == out[29] == ("word " * 40).strip() and out[30] == out[31] == "" and out[32] == "x" * 100_000
+    assert html_text.fit(pages.limit(0)) == html_text.PLAIN and html_text.with_text(pages.limit(0), w).count() == 0
 
 
 def test_license_scan(spark):
@@ -223,7 +274,37 @@ def test_shards(spark, tmp_path):
     for _ in range(2):
         store.append(docs.repartition(4))
     before = store.manifest()
+    reader = store.read()
     after = store.compact()
-    assert len(after.shards) < len(before.shards) and sum(s.n_rows for s in after.shards) == 202 and store.read().count() == 202
+    assert after.n_shards < before.n_shards and after.n_rows == 202 and store.read().count() == 202
+    assert reader.count() == 202 and store.read(before.version).count() == 202
     with pytest.raises(shards.Conflict):
-        store._commit(shards.Manifest(after.version, after.schema, ()))
+        store._commit(after.version, after.schema, store.listed())
+    with pytest.raises(ValueError):
+        store.append(docs.withColumnRenamed("extra", "other"))
+    assert sorted(tuple(r) for r in store.read().collect())[:0] == [] and store.append(docs.limit(0)).n_rows == 202
+    store.expire(keep=1)
+    assert store.versions() == [store.manifest().version] and store.read().count() == 202
+
+
+def test_shards_compaction_beside_a_writer(spark, tmp_path):
+    """A writer that has its files but no version yet survives a compaction and an expiry; a dead one's files go by age."""
+    store = shards.Store(spark, f"file://{tmp_path}/store")
+    docs = docs_of(spark, [f"text {k}" for k in range(20)])
+    for _ in range(5):
+        store.append(docs.coalesce(1))
+    written = store._written(docs)
+    done = store.compact()
+    store.expire()
+    late = store._commit(done.version + 1, done.schema, store.listed().union(written))
+    assert late.n_rows == 120 and store.read().count() == 120
+    store._written(docs)
+    folders = len(store._list(store._path("shards")))
+    store.expire(abandoned_s=-10)
+    assert len(store._list(store._path("shards"))) < folders and store.read().count() == 120
+
+
+def test_tier_expression(spark):
+    sizes = [1, shards.LEAST_BYTES, shards.LEAST_BYTES + 1, 4 * shards.LEAST_BYTES, 17 * shards.LEAST_BYTES, 128 << 20, 1 << 33]
+    rows = spark.createDataFrame([(x,) for x in sizes], "n_bytes long").select("n_bytes", shards._tier().alias("t")).collect()
+    assert [r.t for r in rows] == [shards.tier_of(r.n_bytes) for r in rows]
