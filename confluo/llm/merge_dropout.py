@@ -187,7 +187,7 @@ class Encoder(dict):
 
     def _learn(self, words: list[str]) -> None:
         """New words without a skipped turn by the library itself; a turn is a merge, so symbols less pieces are the turns."""
-        new = [w for w in dict.fromkeys(words) if w not in self and len(w) <= LONG and w[0] == " " and SPACE not in w]
+        new = [w for w in dict.fromkeys(words) if w not in self and 1 < len(w) <= LONG and w[0] == " " and SPACE not in w]
         if len(self) + len(new) > MEMO_WORDS:
             self.clear()
         lo = self.pieces.bytes_at
