@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confluo.llm import line_dedup, ngram_join, packing, quality
-from confluo.llm.buckets import maybe, table_of
 from confluo.llm.common import saved, table
 from confluo.llm.encoder import vocabulary
 
@@ -23,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that another line stands for; those that lose all their text go, and n_chars follows."""
     out = line_dedup.dedup(docs, removed="_confluo_removed")
-    out = out.where("NOT (_confluo_removed > 0 AND trim(text) = '')")
+    out = out.where("NOT (_confluo_removed > 0 AND NOT text rlike '\\\\S')")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_confluo_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -32,10 +31,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group that five-word shingles link at a similarity of 0.8 or more."""
     groups = ngram_join.join(docs)
-    losers, _ = saved(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_confluo_id")).distinct(), "near-duplicates")
-    hit = F.coalesce(maybe(table_of(losers, "_confluo_id"), docs["doc_id"].cast("long")), F.lit(False))
-    rest = docs.where(hit).join(losers, docs["doc_id"].cast("long") == F.col("_confluo_id"), "left_anti")
-    return docs.where(~hit).union(rest)
+    losers = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_confluo_id")).distinct()
+    return docs.join(losers, docs["doc_id"].cast("long") == F.col("_confluo_id"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
