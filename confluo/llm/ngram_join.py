@@ -20,8 +20,8 @@ The Jaccard distance d = 1 - |x & y| / |x | y| of shingle sets is a metric; docu
 Shingle frequencies only set the order. They are counted over all documents; the frequent ones number at most
 FREQUENT, which bounds the broadcast.
 
-Defined results: null or empty texts and texts without words have an empty set and link with nothing; a null doc_id is
-in no component; rows that repeat a doc_id count as one document; an empty table gives no rows; other columns are
+Defined results: null or empty texts and texts without words have an empty set and link with nothing; very long texts
+are compared whole; of documents with equal sets the smallest doc_id stands for all; a null doc_id is in no component; rows that repeat a doc_id count as one document; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -35,7 +35,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import maybe, table_of
 from .common import batches, dropped, saved, texts
 from .components import connected
 from .shingles import shingle_set
@@ -248,9 +247,9 @@ class _Join:
         return out, [out_at]
 
     def sets_of(self, asked: DataFrame) -> tuple[DataFrame, str]:
-        """(id, shingles) of the asked ids and a few more: a bucket table picks them where they are read, without an exchange."""
-        some = self.texts.where(maybe(table_of(asked, "id"), "id"))
-        return saved(some.mapInArrow(_sets(self.width), "id long, shingles array<long>"), "sets")
+        """(id, shingles) of the asked ids."""
+        some = self.texts.join(asked.select("id").distinct(), "id", "left_semi")
+        return saved(some.select("id", "text").mapInArrow(_sets(self.width), "id long, shingles array<long>"), "sets")
 
     # Regions ------------------------------------------------------------------------------------------------------
 
@@ -260,12 +259,14 @@ class _Join:
         Of the first shingles only those that another document has among its own can be common, so items has no others.
         """
 
-        def of(column: str) -> DataFrame:
+        def of(column: str, once: bool) -> DataFrame:
             rows = self.firsts.select("id", F.explode(column).alias("shingle"))
+            # A light shingle has few documents, so all rows of one can come together, and in one exchange.
+            rows = rows.repartition("shingle") if once else rows
             pivots = rows.groupBy("shingle").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p < last").select("shingle", "p")
             return rows.join(pivots, "shingle").select("p", "id", "shingle")
 
-        met, met_at = saved(of("light").union(of("heavy")), "met")
+        met, met_at = saved(of("light", True).union(of("heavy", False)), "met")
         items = met.groupBy("id").agg(F.collect_set("shingle").alias("items"))
         sizes = self.firsts.select("id", F.col("n"), (F.col("n") - F.size("light") - F.size("heavy")).alias("rest"))
         self.shared, shared_at = saved(items.join(sizes, "id").select("id", "n", "rest", "items"), "shared")
