@@ -12,11 +12,15 @@ grow with that number, so filters hold few vectors at every size; a vector's fil
 BLOCK vectors are cut into blocks that meet pair by pair. A pair counts in the first filter that both its vectors pass.
 Links are not given out: a task gives for its vectors the number of links, and a spanning forest of the links.
 
+Equal vectors are one class, for which the smallest vec_id goes through the search with the number of its members, so a
+group of copies costs one vector and no pair within it is made.
+
 The search can miss pairs whose caps have no common filter; the README has the measured recall.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors
-of different dimension do not link; rows that repeat both vec_id and vector count once; a null vec_id is dropped from
-links and keeps its row; an empty table gives no rows; other columns are ignored.
+of different dimension do not link; rows that repeat both vec_id and vector count once; a null vec_id links with nothing
+and is kept; a cosine of just the wanted value links; long vectors are handled whole, in batches of BATCH_ROWS; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,7 +120,7 @@ def _code(*key) -> Code:
 def _decoded(words: int, seed: int, cosine: float, common: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, vectors, members = (batch.column(k).to_pylist() for k in range(3))
             by_dim: dict[int, list[int]] = {}
             for k, v in enumerate(vectors):
                 by_dim.setdefault(len(v), []).append(k)
@@ -131,7 +135,7 @@ def _decoded(words: int, seed: int, cosine: float, common: float):
                 tables = [_code(dim, words, seed * TABLES + t, cosine, common).filters(unit) for t in range(TABLES)]
                 found = [np.concatenate([f + (t << 40) for t, f in enumerate(fs)]) for fs in zip(*tables, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[k] for k in ks], pa.int64()), pa.array([dim] * len(ks), pa.int32()), pa.array(list(unit), pa.list_(pa.float64())), pa.array(found, pa.list_(pa.int64()))], ["vec_id", "dim", "unit", "filters"]
+                    [pa.array([ids[k] for k in ks], pa.int64()), pa.array([dim] * len(ks), pa.int32()), pa.array(list(unit), pa.list_(pa.float64())), pa.array(found, pa.list_(pa.int64())), pa.array([members[k] for k in ks], pa.int64())], ["vec_id", "dim", "unit", "filters", "members"]
                 )
 
     return run
@@ -154,7 +158,8 @@ def _verified(cosine: float):
         linked, ids = linked[np.ix_(some, some)], ids[some]
         lists = [r[5] for r, s in zip(rows, some, strict=True) if s]
         first = linked & (common_counts([f[f < key[1]] for f in lists]) == 0)
-        counts = [(int(i), int(n)) for i, n in zip(ids, first.sum(axis=1), strict=True) if n]
+        members = np.array([r[6] for r, s in zip(rows, some, strict=True) if s], dtype=np.int64)
+        counts = [(int(i), int(n)) for i, n in zip(ids, first @ members, strict=True) if n]
         label = np.arange(len(ids))
         order = np.argsort(ids, kind="stable")
         label[order] = np.arange(len(ids))
@@ -184,7 +189,7 @@ def _verified(cosine: float):
                 if key != now:
                     flush()
                     now, held = key, []
-                held.append((key, r["filter"], r["vec_id"], r["side"], r["unit"], np.array(r["filters"], dtype=np.int64)))
+                held.append((key, r["filter"], r["vec_id"], r["side"], r["unit"], np.array(r["filters"], dtype=np.int64), r["members"]))
             if len(out) > 10_000:
                 yield given()
                 out = []
@@ -196,23 +201,32 @@ def _verified(cosine: float):
 
 def near_links(vectors: DataFrame, cosine: float = COSINE, seed: int = 0, common: float = COMMON, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """(vec_id, n_links) of vectors with links, and (a, b): links that hold each component together."""
-    short_batches(vectors.sparkSession)
+    spark = vectors.sparkSession
     n = vectors.count()
     words = min(MOST_WORDS, max(LEAST_WORDS, math.ceil(math.sqrt(3 * n / TABLES))))
     e = vectors[embedding].cast("array<double>")
     rows = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), e.alias("e")).where("vec_id IS NOT NULL AND size(e) > 0 AND NOT exists(e, x -> x IS NULL OR isnan(x))").distinct()
-    decoded, decoded_at = saved(rows.mapInArrow(_decoded(words, seed, cosine, common), "vec_id long, dim int, unit array<double>, filters array<long>"), "filters")
+    classes = rows.groupBy("e").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("members"))
+    with batches(spark):
+        decoded, decoded_at = saved(classes.select("vec_id", "e", "members").mapInArrow(_decoded(words, seed, cosine, common), "vec_id long, dim int, unit array<double>, filters array<long>, members long"), "filters")
     passed = decoded.select("vec_id", "dim", F.explode("filters").alias("filter"))
     sizes = passed.groupBy("dim", "filter").agg(F.count("*").alias("m")).where("m > 1").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
     met = passed.join(sizes, ["dim", "filter"]).withColumn("side", F.expr("cast(pmod(xxhash64(vec_id), nb) as int)"))
     tasks = met.select("vec_id", "dim", "filter", "side", F.explode(F.expr("sequence(0, nb - 1)")).alias("o"))
     tasks = tasks.select("vec_id", "dim", "filter", "side", F.least("side", "o").alias("b1"), F.greatest("side", "o").alias("b2"))
-    whole = tasks.join(decoded.select("vec_id", "unit", "filters", F.col("dim").alias("_d")), "vec_id").where("dim = _d").drop("_d")
+    whole = tasks.join(decoded.select("vec_id", "unit", "filters", "members", F.col("dim").alias("_d")), "vec_id").where("dim = _d").drop("_d")
     keys = ["dim", "filter", "b1", "b2"]
     whole = whole.repartition(*keys).sortWithinPartitions(*keys)
-    found, found_at = saved(whole.mapInArrow(_verified(cosine), "a long, b long, n long"), "vector-links")
-    dropped(vectors.sparkSession, decoded_at)
-    return found.where("n IS NOT NULL").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links")), found.where("b IS NOT NULL").select("a", "b")
+    with batches(spark):
+        found, _ = saved(whole.mapInArrow(_verified(cosine), "a long, b long, n long"), "vector-links")
+    # Vectors that have no direction are in no class of the search, and link with none of their copies either.
+    many = rows.join(classes.withColumnRenamed("vec_id", "first"), "e").join(decoded.select(F.col("vec_id").alias("first"), F.col("dim").alias("_d")), "first").where("_d = size(e)")
+    of_class, of_at = saved(many.select("vec_id", "first", "members"), "vector-classes")
+    dropped(spark, decoded_at)
+    sums = found.where("n IS NOT NULL").groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("n"))
+    counts = of_class.join(sums, "first", "left").groupBy("vec_id").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+    copies = of_class.where("vec_id <> first").select(F.col("vec_id").alias("a"), F.col("first").alias("b"))
+    return counts, found.where("b IS NOT NULL").select("a", "b").union(copies)
 
 
 def dedup(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", **how) -> DataFrame:
@@ -221,4 +235,4 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", em
     of = connected(links).withColumnRenamed("id", "vec_id")
     out = vectors.select(vectors[vec_id].cast("long").alias("vec_id")).join(counts, "vec_id", "left").join(of, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
