@@ -7,7 +7,8 @@ licences. Whole documents are looked up as licence texts, and each line as a lic
 Only built-in functions are used; the list of known digests is fixed, so it is broadcast.
 
 Defined results: null and empty texts match nothing and have no line; a null doc_id is kept; repeated rows are each
-scanned; an empty table gives no rows; other columns are ignored.
+scanned; of two licences with one digest the smaller identifier is given; very long texts are canonicalised whole, and
+lines longer than any known text are no notice; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,36 +40,77 @@ _BSD_3 = "Neither the name of the copyright holder nor the names of its contribu
 _BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 _ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
 
-# Licence texts and usual notices, by SPDX identifier.
-KNOWN: list[tuple[str, str]] = [
+_MIT0 = _PERMISSION.split(", subject to")[0] + "."
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_MORE = ("For more information, please refer to <http://unlicense.org/>", "For more information, please refer to <https://unlicense.org/>", "For more information, please refer to <https://unlicense.org>", "")
+_BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+# Licence texts without their titles, by SPDX identifier.
+TEXTS: list[tuple[str, str]] = [
     ("MIT", f"{_PERMISSION}\n{_MIT_END}"),
-    ("MIT", f"MIT License\n{_PERMISSION}\n{_MIT_END}"),
-    ("MIT", f"The MIT License (MIT)\n{_PERMISSION}\n{_MIT_END}"),
+    ("MIT-0", f"{_MIT0}\n{_MIT_END}"),
     ("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_END}"),
-    ("ISC", f"ISC License\n{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_END}"),
     ("0BSD", f"{_ISC}.\n{_ISC_END}"),
     ("BSD-2-Clause", f"{_BSD}\n1. {_BSD_1}\n2. {_BSD_2}\n{_BSD_END}"),
     ("BSD-2-Clause", f"{_BSD}\n{_BSD_1}\n{_BSD_2}\n{_BSD_END}"),
     ("BSD-3-Clause", f"{_BSD}\n1. {_BSD_1}\n2. {_BSD_2}\n3. {_BSD_3}\n{_BSD_END}"),
     ("BSD-3-Clause", f"{_BSD}\n{_BSD_1}\n{_BSD_2}\n{_BSD_3}\n{_BSD_END}"),
     ("Zlib", _ZLIB),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Released under CC0 1.0."),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "Licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSL-1.0", _BOOST),
+    *(("Unlicense", f"{_UNLICENSE}\n{x}") for x in _MORE),
+]
+# Titles that may stand above a text.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "MIT-0": ("MIT No Attribution", "MIT-0"),
+    "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD License", "New BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+# Names that notices use, by SPDX identifier.
+NAMES = {
+    "MIT": ("the MIT License",),
+    "ISC": ("the ISC License",),
+    "BSD-2-Clause": ("the BSD 2-Clause License",),
+    "BSD-3-Clause": ("the BSD 3-Clause License",),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", 'the Apache License, Version 2.0 (the "License")'),
+    "MPL-2.0": ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0"),
+    "GPL-2.0-only": ("the GNU General Public License, version 2", "the GNU General Public License v2.0"),
+    "GPL-2.0-or-later": ("the GNU General Public License, version 2 or later",),
+    "GPL-3.0-only": ("the GNU General Public License, version 3", "the GNU General Public License v3.0"),
+    "GPL-3.0-or-later": ("the GNU General Public License, version 3 or later",),
+    "LGPL-2.1-only": ("the GNU Lesser General Public License, version 2.1",),
+    "LGPL-3.0-only": ("the GNU Lesser General Public License, version 3",),
+    "AGPL-3.0-only": ("the GNU Affero General Public License, version 3",),
+    "EPL-2.0": ("the Eclipse Public License 2.0",),
+    "BSL-1.0": ("the Boost Software License, Version 1.0",),
+    "Unlicense": ("the Unlicense",),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+    "CC-BY-4.0": ("CC BY 4.0", "a Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+}
+# Wordings of notices.
+WORDINGS = ("Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "This software is released under {}.")
+FURTHER = ("GPL-2.0", "GPL-3.0", "GPL-2.0+", "GPL-3.0+", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "0BSD", "MIT-0", "Zlib")
+
+KNOWN: list[tuple[str, str]] = [
+    *TEXTS,
+    *((k, f"{title}\n{t}") for k, t in TEXTS for title in TITLES.get(k, ())),
+    *((k, w.format(n)) for k, names in NAMES.items() for n in names for w in WORDINGS),
+    *((k, f"SPDX-License-Identifier: {k}") for k in (*NAMES, *FURTHER)),
 ]
 
 _COPYRIGHT = r"^[^0-9a-z©]*(copyright|©|\(c\)|all rights reserved).*$"
