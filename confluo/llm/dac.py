@@ -243,6 +243,7 @@ def read_tokens(segments: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows.append((r.doc_id, r.position, s.token(r.nth, r.position)))
         return pd.DataFrame(rows, columns=["doc_id", "position", "token"])
 
-    index = segments.select("shard", "segment", F.posexplode("doc_ids").alias("nth", "doc_id"))
-    asked = index.join(wanted.select("doc_id", "position"), "doc_id").groupBy("shard", "segment")
-    return segments.select("shard", "segment", "payload").join(index.join(wanted.select("doc_id"), "doc_id").select("shard", "segment").distinct(), ["shard", "segment"], "left_semi").groupBy("shard", "segment").cogroup(asked).applyInPandas(tokens, "doc_id long, position long, token long")
+    index = segments.select(F.col("shard").alias("in_shard"), F.col("segment").alias("in_segment"), F.posexplode("doc_ids").alias("nth", "doc_id"))
+    asked = index.join(wanted.select("doc_id", "position"), "doc_id")
+    opened = segments.select("shard", "segment", "payload").join(asked.select("in_shard", "in_segment").distinct(), F.expr("shard = in_shard AND segment = in_segment"), "left_semi")
+    return opened.groupBy("shard", "segment").cogroup(asked.groupBy("in_shard", "in_segment")).applyInPandas(tokens, "doc_id long, position long, token long")

@@ -182,8 +182,8 @@ def _in_context(found: list[Token], w: Weights | None = None) -> Iterator[tuple[
             elif name not in INLINE:
                 block = f"/{name}"
             articles -= name == "article" and articles > 0
-            names = ends.pop(i, names)
         yield kind, name, f"{block}>a" if links else block, articles > 0, names
+        names = ends.pop(i, names)
 
 
 #: Scores without labelled pages: a word, a word in a link, a tag.
@@ -231,9 +231,10 @@ def extract(html: str | None, w: Weights = PLAIN) -> str:
         if kind == 0:
             n = len(name.split())
             word = w.get("w:" + where, w["link"] if where.endswith(">a") else w["word"])
-            score = n * (min(word, named) if named < 0 else word) if n else 0.0
+            # Words that are no part of the text neither add to a region nor part it.
+            score = 0.0 if outside[i] or not n else n * (min(word, named) if named < 0 else word)
         else:
-            score = w.get("t:" + name, w["tag"])
+            score = 0.0 if outside[i] else w.get("t:" + name, w["tag"])
         if run <= 0:
             run, start = 0.0, i
         run += score

@@ -221,22 +221,41 @@ def test_merge_dropout_tables(spark):
     assert merge_dropout.encode(docs.limit(0), path).count() == 0
 
 
-def test_html_extraction():
+@pytest.fixture(scope="module")
+def learned(spark):
+    """Weights from the marked pages of a test table."""
+    return html_text.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+
+
+def test_html_extraction(learned):
     page = "<html><head><title>T</title></head><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy now please</div><article><h1>Head&amp;line</h1><p>First  text\nhere<br>next <b>bo</b>ld</p><div class=comments><p>me too</p></div><p>End.</article><footer>foot</footer>"
-    w = html_text.weights(html_text.count_page(page))
-    assert html_text.extract(page, w) == "Head&line\nFirst text here\nnext bold\nEnd."
+    assert html_text.extract(page, learned) == "Head&line\nFirst text here\nnext bold\nEnd."
     assert html_text.extract(None) == "" and html_text.extract("<p></p>") == ""
 
 
-def test_html_extraction_keeps_articles_in_named_wrappers():
+def test_html_extraction_on_held_out_pages(spark):
+    """Weights from some marked pages find the article of others, with their article tags and without."""
+    import re
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    sums = html_text.Counter()
+    for p in pages[:100]:
+        sums.update(html_text.count_page(p))
+    w, every = html_text.weights(sums), {"word": 1.0, "link": 1.0, "tag": 0.0}
+    for p in pages[100:]:
+        want = html_text.extract(re.search("<article>(.*?)</article>", p, re.S)[1], every)
+        assert html_text.extract(p, w) == want == html_text.extract(re.sub("</?article>", "", p), w)
+
+
+def test_html_extraction_keeps_articles_in_named_wrappers(learned):
     article = "<article><h1>Title</h1><p>Over <a href='/the-hidden-valley'>the valley</a> we went on.</p></article>"
     for attributes in ("class='overflow-hidden'", "class='content with-sidebar'", "class=no-sidebar", "class=nav-open", "class=search-results", "class=social-studies", "class=widget"):
         page = f"<body><nav>Menu here</nav><div {attributes}>{article}</div><div class=comments>me too</div><div hidden>no</div></body>"
-        assert html_text.extract(page, html_text.weights(html_text.count_page(page))) == "Title\nOver the valley we went on."
+        assert html_text.extract(page, learned) == "Title\nOver the valley we went on."
 
 
-def test_html_extraction_drops_nothing_else():
-    w = html_text.weights(html_text.count_page("<nav>menu " + "x " * 30 + "</nav><div class=box>" + "out " * 30 + "</div><article><p>" + "in " * 90 + "</p></article>"))
+def test_html_extraction_drops_nothing_else(learned):
+    w = learned | {"c:box": -4.0}
     assert html_text.extract("<article><p>Some first words here</p><section id='search-trees'>four five six</section><p class='notice'>seven &amp; eight</p></article>", w) == "Some first words here\nfour five six\nseven & eight"
     assert html_text.extract("<p>if a < b and c <d or e</p><p>then f</p>") == "if a < b and c <d or e\nthen f"
     assert html_text.extract('<p title="a > b" data-x=\'"\'>one two</p>') == "one two"
