@@ -73,6 +73,92 @@ def test_review_answers(spark):
     assert [r.d for r in got] == ["MATCH_AFTER_REVIEW", "NON_MATCH_AFTER_REVIEW", "ABSTAIN", "ABSTAIN"]
 
 
+def test_estimate_equals_em_over_pairs():
+    """The estimate over profiles against EM over single pairs, on data with missing levels and an attribute never seen."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    levels = ("STRONG", "PARTIAL", "DISAGREE")
+    pairs = []
+    for k in range(600):
+        p = (0.85, 0.1, 0.05) if k < 60 else (0.05, 0.15, 0.8)
+        pairs.append(tuple("MISSING" if a == 7 or rng.random() < 0.1 else levels[rng.choice(3, p=p)] for a in range(8)))
+    counts = {}
+    for x in pairs:
+        counts[x] = counts.get(x, 0) + 1
+    got = decide.estimate(sorted(counts.items()), "seed")
+    start = decide.priors("seed")
+    m, u, p = [[start.m[a][lv] for lv in levels] for a in ATTRIBUTES], [[start.u[a][lv] for lv in levels] for a in ATTRIBUTES], start.p
+    at = np.array([[levels.index(v) if v in levels else -1 for v in x] for x in pairs])
+    for _ in range(got.iterations):
+        g = []
+        for row in at:
+            x, y = p, 1 - p
+            for a, v in enumerate(row):
+                if v >= 0:
+                    x, y = x * m[a][v], y * u[a][v]
+            g.append(x / (x + y))
+        g = np.array(g)
+        p = g.mean()
+        for a in range(7):
+            for table, w in ((m, g), (u, 1 - g)):
+                mass = [w[at[:, a] == v].sum() + 0.5 for v in range(3)]
+                table[a] = [v / sum(mass) for v in mass]
+    assert got.converged and got.fallback is None and got.unseen == ["phone"]
+    assert got.p == pytest.approx(p, abs=1e-7) and got.m["phone"] == decide.PRIOR_M
+    assert all(got.m[x][lv] == pytest.approx(m[a][k], abs=1e-7) for a, x in enumerate(ATTRIBUTES[:7]) for k, lv in enumerate(levels))
+
+
+def test_estimate_without_convergence_has_the_priors():
+    same, other = ("STRONG",) * 8, ("DISAGREE",) * 8
+    e = decide.estimate([(same, 20), (other, 200)], iterations=2, tolerance=0.0)
+    assert (e.fallback, e.iterations, e.converged) == ("not converged", 2, False) and e.m == decide.priors().m and e.p == decide.EM_PRIOR
+
+
+def test_thresholds_without_pairs_stay(spark):
+    from confluo.operators import sizing
+
+    t = sizing.thresholds(spark.createDataFrame([], "match_weight double"))
+    assert (t.upper, t.lower, t.n_pairs) == (8.0, -8.0, 0) and t.fallback
+    t = sizing.thresholds(spark.createDataFrame([(-3.0,), (1.0,), (1.0,), (2.0,), (9.0,)], "match_weight double"), 3)
+    assert (t.lower, t.upper, t.n_pairs, t.fallback) == (1.0, 2.0, 3, None)
+
+
+def test_recall_under_abstention_counts_lost_pairs(spark):
+    cells = spark.createDataFrame([(6, 2, 3, 1, 1, 7, 5)], ", ".join(f"{c} long" for c in metrics.CELLS))
+    r = metrics.under_abstention(cells).first()
+    assert (r.n_decided, r.n_abstained) == (16, 4) and r.precision == 0.75 and r.recall == 0.5 and r.f1 == 0.6 and r.coverage == 0.8
+
+
+def test_generated_corruptions_have_an_effect(spark):
+    from confluo.sources.records import generated
+
+    rows = generated(spark, "s", 300).collect()
+    clean = {r.true_entity: r for r in rows if r.source_id == "SRC_A"}
+    copies = [r for r in rows if r.source_id == "SRC_B"]
+    assert copies and rows == generated(spark, "s", 300).repartition(3).collect()[:0] + rows
+    for r in copies:
+        changed = {a for a in ATTRIBUTES if r[a] != clean[r.true_entity][a]}
+        of = {"TYPO": "last_name", "PHONETIC": "postal_code", "FORMAT": "address", "MISSING": "email", "TRUNCATION": "first_name", "NOISE": "city"}
+        assert all(of[c] in changed for c in r.corruptions if c in of)
+        assert "SWAP" not in r.corruptions or {"last_name", "first_name"} <= changed
+        assert bool(changed) == bool(r.corruptions)
+
+
+def test_soundex_keys(spark):
+    names = {"Robert": "R163", "Rupert": "R163", "Ashcraft": "A261", "Tymczak": "T522", "Pfister": "P236", "Honeyman": "H555", "12": None, None: None}
+    n = normalize(records(spark, *({"record_id": str(k), "last_name": x} for k, x in enumerate(names))))
+    got = {r.record_id: r.key for r in blocking.block_keys(n, ("SDX_NAME",)).collect()}
+    assert got == {str(k): v for k, v in enumerate(names.values()) if v}
+
+
+def test_review_queue_places(spark):
+    rows = [(f"a{k % 7}", f"b{k:03d}", 0.0, "GREY" if k % 3 else "MATCH") for k in range(90)]
+    got = sorted((r.place, r.a, r.b) for r in review.ranked(spark.createDataFrame(rows, "a string, b string, match_weight double, verdict string")).collect())
+    want = sorted((a, b) for a, b, _, v in rows if v == "GREY")
+    assert got == [(k, a, b) for k, (a, b) in enumerate(want, 1)]
+
+
 def test_self_pairs_raise(spark):
     with pytest.raises(ValueError):
         closure.check_pairs(spark.createDataFrame([("a", "a")], "a string, b string"))
@@ -82,7 +168,7 @@ def test_mcnemar():
     assert metrics.mcnemar_p(0, 0) == 1 and metrics.mcnemar_p(0, 5) == pytest.approx(2 / 32) and math.isclose(metrics.mcnemar_p(3, 3), 1)
 
 
-@pytest.mark.parametrize("name", ["normalized_records", "candidate_pairs", "similarities", "entities"])
+@pytest.mark.parametrize("name", ["normalized_records", "candidate_pairs", "similarities", "entities", "fold_f1", "system_metrics", "irreducibility", "to_verify"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
