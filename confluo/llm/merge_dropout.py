@@ -37,7 +37,7 @@ from .common import short_batches, texts
 
 RATE = 0.1
 #: Entries of each of a worker's two memos, about 250 bytes each.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 #: Longer words run their agenda on a heap and are not kept.
 LONG = 48
 #: Turns whose draws are made for all words of a text together.
@@ -116,7 +116,7 @@ class Encoder(dict):
     @staticmethod
     def _symbols(word: str) -> list[str]:
         """One for each character; a literal space mark is no space and has none of the vocabulary's pieces."""
-        return list(word.replace(SPACE, _NO_SPACE).replace(" ", SPACE))
+        return list((word.replace(SPACE, _NO_SPACE) if SPACE in word else word).replace(" ", SPACE))
 
     def _packed(self, symbols: list[str]) -> bytes:
         get = self.pieces.id_of.__getitem__
@@ -132,17 +132,19 @@ class Encoder(dict):
         """A word by its skipped turns (a bit each), and its number of turns."""
         rank, x = self.pieces.rank.get, self._symbols(word)
         best = list(map(rank, map(add, x, x[1:]), repeat(-1)))
-        turn = 0
-        while best and (top := max(best)) >= 0:
-            j = best.index(top)
+        best.append(-1)
+        turn, last, find, cut, pop = 0, len(x) - 1, best.index, best.__delitem__, x.pop
+        while (top := max(best)) >= 0:
+            j = find(top)
             if skipped >> turn & 1:
                 best[j] = -1
             else:
-                x[j] = m = x[j] + x.pop(j + 1)
-                del best[j]
+                x[j] = m = x[j] + pop(j + 1)
+                cut(j)
+                last -= 1
                 if j:
                     best[j - 1] = rank(x[j - 1] + m, -1)
-                if j < len(best):
+                if j < last:
                     best[j] = rank(m + x[j + 1], -1)
             turn += 1
         return self._packed(x), turn
@@ -187,7 +189,7 @@ class Encoder(dict):
 
     def _learn(self, words: list[str]) -> None:
         """New words without a skipped turn by the library itself; a turn is a merge, so symbols less pieces are the turns."""
-        new = [w for w in dict.fromkeys(words) if w not in self and 1 < len(w) <= LONG and w[0] == " " and SPACE not in w]
+        new = [w for w in set(words) if w not in self and 1 < len(w) <= LONG and w[0] == " " and SPACE not in w]
         if len(self) + len(new) > MEMO_WORDS:
             self.clear()
         lo = self.pieces.bytes_at
@@ -216,9 +218,8 @@ class Encoder(dict):
             return b""
         words = _WORD(" " + text)
         self._learn(words)
-        found = [self[w] for w in words]
-        out = [x[0] for x in found]
-        turns = np.array([x[1] for x in found])
+        out, turns = map(list, zip(*map(self.__getitem__, words), strict=True))
+        turns = np.array(turns)
         if not self.limit:
             for i in np.flatnonzero(turns < 0).tolist():
                 out[i] = self.long(words[i], 0)
