@@ -222,8 +222,9 @@ class _Join:
         full = self.all.where("doc_id IS NOT NULL AND digest IS NOT NULL")
         classes = full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("members"), F.countDistinct("doc_id").alias("ids"))
         self.classes, _ = saved(classes.where("members > 1"), "classes")
-        copies = full.join(self.classes, "digest").where("doc_id <> id").select("doc_id").distinct()
-        self.firsts = full.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "light", "heavy")
+        # Sides without a proven bound are never broadcast, however small: the plan is the same at every size.
+        copies = full.select("doc_id", "digest").join(self.classes.hint("merge"), "digest").where("doc_id <> id").select("doc_id").distinct()
+        self.firsts = full.join(copies.hint("merge"), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "light", "heavy")
 
     # Similarities -------------------------------------------------------------------------------------------------
 
@@ -232,7 +233,7 @@ class _Join:
         p, reach = self.percent, 2 * self.percent - 100
         x = self.shared.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("items").alias("ia"))
         y = self.shared.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("items").alias("ib"))
-        sized = pairs.join(x, "a").join(y, "b").where(f"100 * least(na, nb) >= {reach} * greatest(na, nb)")
+        sized = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(f"100 * least(na, nb) >= {reach} * greatest(na, nb)")
         most = F.least("na", "nb", F.size(F.array_intersect("ia", "ib")) + F.greatest("ra", "rb"))
         bounded = sized.select("a", "b", "na", "nb", most.alias("most")).where(f"100 * most >= {reach} * (na + nb - most)")
         bounded, bounded_at = saved(bounded.withColumn("open", F.expr(f"100 * most >= {p} * (na + nb - most)")), "bounded")
@@ -248,7 +249,7 @@ class _Join:
 
     def sets_of(self, asked: DataFrame) -> tuple[DataFrame, str]:
         """(id, shingles) of the asked ids."""
-        some = self.texts.join(asked.select("id").distinct(), "id", "left_semi")
+        some = self.texts.join(asked.select("id").distinct().hint("merge"), "id", "left_semi")
         return saved(some.select("id", "text").mapInArrow(_sets(self.width), "id long, shingles array<long>"), "sets")
 
     # Regions ------------------------------------------------------------------------------------------------------
@@ -304,14 +305,14 @@ class _Join:
         cells = regions.join(known, ["p", "id"], "left").join(of, "id", "left").select("p", "id", F.coalesce("component_id", "id").alias("c"), state.alias("state"))
         cells, cells_at = saved(cells, "cells")
         tasks, tasks_at = saved(self.tasks(cells), "tasks")
-        first = tasks.join(self.shared, "id")
+        first = tasks.join(self.shared.hint("merge"), "id")
         open_rows, open_at = saved(self.compared(first, exact=False), "open")
         sets, sets_at = self.sets_of(open_rows.select("id").distinct())
         whole = tasks.join(open_rows, ["task", "id"]).join(sets.select("id", F.size("shingles").cast("long").alias("n"), F.lit(0).cast("long").alias("rest"), F.col("shingles").alias("items")), "id")
         more, more_at = saved(self.compared(whole, exact=True), "links")
         of = connected(links.union(more))
         dropped(self.spark, *made, found_at, of_at, cells_at, tasks_at, open_at, sets_at, more_at)
-        members = self.all.join(self.classes.select("digest", "id"), "digest", "left")
+        members = self.all.select("doc_id", "n", "digest").join(self.classes.select("digest", "id").hint("merge"), "digest", "left")
         out = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("id"))
         return out.join(of, "id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
