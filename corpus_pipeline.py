@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, that of the smallest doc_id, of each group that five-word shingles link at a similarity of 0.8 or more."""
     groups = ngram_join.join(docs)
     losers = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_confluo_id")).distinct()
-    return docs.join(losers, docs["doc_id"].cast("long") == F.col("_confluo_id"), "left_anti")
+    return docs.join(losers.hint("merge"), docs["doc_id"].cast("long") == F.col("_confluo_id"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
