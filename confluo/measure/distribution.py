@@ -9,8 +9,9 @@ LO, HI = -128, 128
 
 
 def by_weight(rows: DataFrame) -> DataFrame:
-    """(match_weight, nv, nf): true and false pairs at each weight."""
-    return rows.groupBy("match_weight").agg(F.sum(F.col("is_true").cast("long")).alias("nv"), F.sum((~F.col("is_true")).cast("long")).alias("nf"))
+    """(match_weight, nv, nf): true and false pairs at each weight. Rows counted before have n."""
+    n = F.col("n") if "n" in rows.columns else F.lit(1)
+    return rows.groupBy("match_weight").agg(F.sum(F.col("is_true").cast("long") * n).alias("nv"), F.sum((~F.col("is_true")).cast("long") * n).alias("nf"))
 
 
 def descriptors(rows: DataFrame) -> DataFrame:

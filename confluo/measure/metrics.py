@@ -19,11 +19,15 @@ def classified(decided: DataFrame, true: DataFrame) -> DataFrame:
 
 def contingency(decided: DataFrame, true: DataFrame) -> DataFrame:
     """One row: matched, grey and not matched pairs, each true (v) or false (f), and the true pairs lost before."""
-    rows = classified(decided, true)
-    cell = lambda v, t: F.coalesce(F.sum(((F.col("verdict") == v) & (F.col("is_true") == F.lit(t))).cast("long")), F.lit(0)).alias
+    return cells(classified(decided, true), true.join(decided.select("a", "b"), ["a", "b"], "left_anti"))
+
+
+def cells(rows: DataFrame, lost: DataFrame) -> DataFrame:
+    """The same from decisions with is_true, and the lost pairs. Rows counted before have n."""
+    n = F.col("n") if "n" in rows.columns else F.lit(1)
+    cell = lambda v, t: F.coalesce(F.sum(((F.col("verdict") == v) & (F.col("is_true") == F.lit(t))).cast("long") * n), F.lit(0)).alias
     counts = rows.agg(*(cell(v, t)(n) for n, v, t in (("mv", "MATCH", True), ("mf", "MATCH", False), ("gv", "GREY", True), ("gf", "GREY", False), ("nv", "NON_MATCH", True), ("nf", "NON_MATCH", False))))
-    lost = true.join(decided.select("a", "b"), ["a", "b"], "left_anti").agg(F.count("*").alias("lost"))
-    return counts.join(F.broadcast(lost))
+    return counts.join(F.broadcast(lost.agg(F.count("*").alias("lost"))))
 
 
 def _wilson(k: Column, n: Column, side: int) -> Column:

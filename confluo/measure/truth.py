@@ -39,8 +39,12 @@ def defects(decided: DataFrame) -> DataFrame:
 
 def blocking_quality(pairs: DataFrame, true: DataFrame, n_records: int) -> DataFrame:
     """Completeness, quality and reduction of candidate pairs."""
-    both = pairs.select("a", "b").join(true, ["a", "b"], "left_semi").agg(F.count("*").alias("n_found"))
-    sides = pairs.agg(F.count("*").alias("n_candidates")).join(F.broadcast(both)).join(F.broadcast(true.agg(F.count("*").alias("n_true"))))
+    return quality_of(pairs.agg(F.count("*").alias("n_candidates")), pairs.select("a", "b").join(true, ["a", "b"], "left_semi"), true, n_records)
+
+
+def quality_of(counted: DataFrame, found: DataFrame, true: DataFrame, n_records: int) -> DataFrame:
+    """The same from the number of candidates and the true pairs among them."""
+    sides = counted.join(F.broadcast(found.agg(F.count("*").alias("n_found")))).join(F.broadcast(true.agg(F.count("*").alias("n_true"))))
     space = n_records * (n_records - 1) // 2
     return sides.select("n_candidates", "n_true", "n_found", F.round(F.try_divide("n_found", "n_true"), 9).alias("completeness"), F.round(F.try_divide("n_found", "n_candidates"), 9).alias("quality"), F.round(1 - F.col("n_candidates") / F.lit(max(space, 1)), 9).alias("reduction"))
 

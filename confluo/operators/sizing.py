@@ -29,10 +29,11 @@ def statistics(decided: DataFrame) -> DataFrame:
 def bands(decided: DataFrame, frontier: float = FRONTIER) -> DataFrame:
     """Nested bands around the frontier: pairs inside, lower and upper bound.
 
-    Weights are counted by distinct value first; these are few, as they follow from at most 65,536 profiles, so the
+    Rows counted before have n. Weights are counted by distinct value first; these are few, as they follow from at most 65,536 profiles, so the
     running sum over all of them is small.
     """
-    counts = decided.groupBy("match_weight").agg(F.count("*").alias("c")).withColumn("gap", F.abs(F.col("match_weight") - F.lit(frontier)))
+    n = F.sum("n") if "n" in decided.columns else F.count("*")
+    counts = decided.groupBy("match_weight").agg(n.alias("c")).withColumn("gap", F.abs(F.col("match_weight") - F.lit(frontier)))
     w = Window.orderBy("gap", "match_weight").rowsBetween(Window.unboundedPreceding, 0)
     return counts.select(F.sum("c").over(w).alias("n_pairs"), F.min("match_weight").over(w).alias("t_lower"), F.max("match_weight").over(w).alias("t_upper"))
 

@@ -46,6 +46,8 @@ class Run:
     levels: DataFrame
     estimate: decide.Estimate
     decisions: DataFrame
+    #: Levels by profile with their number n, which suffice to size thresholds.
+    counted: DataFrame
 
 
 def check_ids(records: DataFrame) -> None:
@@ -58,23 +60,24 @@ def check_ids(records: DataFrame) -> None:
 def levels_of(records: DataFrame, p: Parameters = Parameters()) -> tuple[DataFrame, DataFrame]:
     """Normalised records and the comparison levels of their candidate pairs."""
     normalized = normalize(records)
-    pairs = blocking.candidate_pairs(blocking.block_keys(normalized, p.passes), p.largest_block)
-    return normalized, compare.levels(compare.similarities(pairs, normalized), p.strong, p.partial)
+    pairs = blocking.candidate_pairs(blocking.block_keys(normalized, p.passes), p.largest_block, compare.prepared(normalized))
+    return normalized, compare.levels(compare.similarities_of(pairs), p.strong, p.partial)
 
 
-def engine(records: DataFrame, p: Parameters = Parameters(), compared: tuple[DataFrame, DataFrame] | None = None) -> Run:
-    """Records to decisions. Levels are written once, as the estimate and the decisions both read them.
+def engine(records: DataFrame, p: Parameters = Parameters(), compared: tuple[DataFrame, DataFrame] | None = None, counted: DataFrame | None = None) -> Run:
+    """Records to decisions. Profiles are written once, as the estimate and the thresholds both read them; pairs are not.
 
-    ``compared`` has the normalised records and the written levels, where a run over the same records has made them.
+    ``compared`` has the normalised records and the levels, and ``counted`` their profiles, where a run over the same
+    records has made them.
     """
     check_ids(records)
     if compared is None:
-        normalized, levels = levels_of(records, p)
-        levels, _ = saved(levels, "levels")
-    else:
-        normalized, levels = compared
-    e = decide.fit(levels, p.seed)
-    return Run(normalized, levels, e, decide.decisions(levels, e.weights(), p.t_upper, p.t_lower))
+        compared = levels_of(records, p)
+    normalized, levels = compared
+    if counted is None:
+        counted, _ = saved(decide.profiles(levels), "profiles")
+    e = decide.fit(counted, p.seed)
+    return Run(normalized, levels, e, decide.decisions(levels, e.weights(), p.t_upper, p.t_lower), counted)
 
 
 def population_fingerprint(normalized: DataFrame) -> str:
@@ -91,7 +94,7 @@ def weights_fingerprint(w: decide.Table) -> str:
 
 def derived_point(run: Run, budget: int = REVIEW_BUDGET, frontier: float = FRONTIER) -> OperatingPoint:
     """Thresholds sized on a run's own decisions, with what they hold for."""
-    t = sizing.thresholds(run.decisions, budget, frontier)
+    t = sizing.thresholds(decide.decisions(run.counted, run.estimate.weights()), budget, frontier)
     return OperatingPoint(t.upper, t.lower, "sized", True, {"population": population_fingerprint(run.normalized), "weights": weights_fingerprint(run.estimate.weights()), "budget": budget, "reached": t.n_pairs})
 
 
@@ -119,9 +122,11 @@ def chain(records: DataFrame, point: OperatingPoint | None = None, answers: Data
         check_provenance(point, run)
     decided = decide.decisions(run.levels, run.estimate.weights(), point.t_upper, point.t_lower)
     grey = decided.where("verdict = 'GREY'").select("a", "b")
-    decided, _ = saved(review.reviewed(decided, review.payload(grey, run.normalized), answers, budget), "decisions")
-    closure.check_pairs(decided)
-    links = closure.edges(review.match_set(decided))
+    decided = review.reviewed(decided, review.payload(grey, run.normalized), answers, budget)
+    # Of all decisions only the links are written.
+    matched, _ = saved(review.match_set(decided).select("a", "b"), "matches")
+    closure.check_pairs(matched)
+    links = closure.edges(matched)
     parts, _ = saved(closure.entities(links, records), "entities")
     winners = fusion.arbitrated(fusion.ballots(records, parts, priority), policy)
     golden = fusion.golden_records(records, parts, winners)

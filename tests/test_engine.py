@@ -182,3 +182,46 @@ def test_query_equals_sql(spark, name):
     want = con.sql(oracles.SQL[name]).df()[got.columns]
     text = lambda rows: sorted(tuple("" if v is None or v != v else str(round(v, 6) if isinstance(v, float) else v) for v in r) for r in rows)
     assert text(got.collect()) == text(want.itertuples(index=False))
+
+
+def test_pairs_reach_no_shuffle(spark):
+    """Pairs grow with the square of a block: nothing is exchanged after the join that makes them, and counting makes none."""
+    rows = [{"record_id": f"{k:03d}", "last_name": ("Martin", "Martel", "Durand")[k % 3], "postal_code": str(k % 4)} for k in range(40)]
+    n = normalize(records(spark, *rows))
+    keys = blocking.block_keys(n)
+    pairs = blocking.candidate_pairs(keys, carried=n.select("record_id", "city"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [k#" in plan and "Exchange" not in plan.split("SortMergeJoin [k#")[0]
+    want = {(a["record_id"], b["record_id"]) for a in rows for b in rows if a["record_id"] < b["record_id"] and (a["postal_code"] == b["postal_code"] or a["last_name"][:4] == b["last_name"][:4])}
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert blocking.pair_count(keys).first()[0] == len(want)
+
+
+def test_many_pairs_are_not_written(spark, monkeypatch):
+    """With more pairs than are written, queries give the same rows and no table of pairs comes to disk."""
+    from confluo.plans import catalogue, substrate
+
+    d = "/root/testdata/sf0.001"
+    names = ("fixed_weight_decisions", "contingency", "fold_f1", "class_imbalance", "profile_counts", "blocking_quality", "lost_pairs", "pass_contribution", "sized_decisions", "closure_coverage", "baseline_jaccard", "golden_records")
+    rows = lambda: {n: sorted(map(str, catalogue.QUERIES[n](spark, d).collect())) for n in names}
+    want = rows()
+    monkeypatch.setattr(substrate, "FEW_PAIRS", 0)
+    monkeypatch.setattr(substrate, "_HELD", {})
+    made = []
+    saved = substrate.saved
+    monkeypatch.setattr(substrate, "saved", lambda df, name: (made.append(name), saved(df, name))[1])
+    assert rows() == want and not {"pairs", "levels", "decided"} & set(made)
+
+
+def test_kernel_over_columns_equals_the_kernel():
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    word = lambda: None if draw.random() < 0.1 else "".join(draw.choice("abcé𝄞 \0") for _ in range(draw.choice((0, 1, 2, 4, 6, 9, 30, 300))))
+    x = [word() for _ in range(3000)]
+    y = [draw.choice((v, word(), v and v[::-1])) for v in x]
+    want = [None if a is None or b is None else S.jaro_winkler(a, b) for a, b in zip(x, y, strict=True)]
+    assert S.jaro_winkler_of(pa.array(x, pa.string()), pa.array(y, pa.string())).to_pylist() == want
