@@ -14,9 +14,11 @@ to a similarity of 0.8 the bands find 0.97 of the pairs, of closer ones more (me
 Verification. Equal lines are one class from the start, so copies are never paired. In rounds, the lines of a band meet
 central ones: first the line that meets most others in all its bands, then the lines that the band has joined to it, twice
 as many in each round, then the next of the rest. Each such pair is compared by its whole shingle sets, whatever its number. Lines that are joined
-are not compared again. A band ends when no line is left or MISSES of its rounds have joined nothing, so lines
-that merely share a passage cost a few comparisons each, not the square of their number; bands of one family have
-different central lines. Links are closed by distributed union-find; a component keeps its first line by doc_id and line
+are not compared again. A band ends when no line is left or MISSES of its rounds have joined nothing; bands of one
+family have different central lines. Lines that such an end leaves uncompared are joined exactly: their shingles are
+ordered, rare ones first, and each two lines of different components that share one of the first n - ceil(0.8 n) + 1
+are compared, so no pair that shares a band is lost, and lines that merely share a passage, which is frequent, do not
+meet by it. Links are closed by distributed union-find; a component keeps its first line by doc_id and line
 number.
 
 All joins are plain ones on hashed keys, whatever the number of rows; no filter grows or saturates with the data.
@@ -108,13 +110,30 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return sized.where(F.expr(f"100 * c >= {percent} * (n - c)")).select("a", "b")
 
 
+def _left_over(rest: DataFrame, texts: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among the lines (h): all pairs that are similar enough, by rare shingles."""
+    of = of.select(F.col("id").alias("h"), F.col("component_id").alias("c"))
+    sets = rest.join(texts, "h").select("h", shingles(F.col("line")).alias("x"))
+    rows = sets.select("h", F.size("x").alias("n"), F.explode("x").alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("f"))
+    # A shingle of one line alone still takes its place among the first.
+    ranked = rows.join(often.hint("merge"), "s").groupBy("h", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("x"))
+    first = ranked.select("h", "n", F.explode(F.expr(f"slice(x, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")).alias("x")).where("x.f > 1")
+    first = first.select("h", "n", F.col("x.s").alias("s")).join(of.hint("merge"), "h", "left").withColumn("c", F.coalesce("c", "h"))
+    open_ = first.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("s")
+    first = first.join(open_.hint("merge"), "s")
+    side = lambda k: first.select("s", F.col("h").alias(k), F.col("n").alias(f"n{k}"), F.col("c").alias(f"c{k}"))
+    met = side("a").hint("merge").join(side("b"), "s").where(f"a < b AND ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return _linked(met.select("a", "b").distinct(), texts, percent)
+
+
 def _components(keyed: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, str]:
     """(id, component_id) of linked lines, from (band, h, m) of the lines in bands of m lines, by rounds of central lines."""
     spark = keyed.sparkSession
     weight = keyed.groupBy("h").agg(F.sum("m").alias("weight"))
     no = F.lit(False)
     rows, rows_at = saved(keyed.select("band", "h").join(weight, "h").select("band", "h", "weight", no.alias("joined"), no.alias("used"), F.lit(0).alias("misses"), no.alias("going")), "band-rows")
-    tried, of, made, turn = None, None, [], 0
+    tried, of, made, turn, rest = None, None, [], 0, None
     while not is_empty(rows):
         # Lines that the band has joined are central next, twice as many in each round; where there is none, the heaviest line, equal ones in one of a few orders.
         bucket = F.when(F.col("going"), F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(min(1 << turn, MOST_CENTRAL)))).otherwise(0)
@@ -138,12 +157,22 @@ def _components(keyed: DataFrame, texts: DataFrame, percent: int) -> tuple[DataF
         now, now_at = saved(now, "band-marks")
         n = lambda c: F.sum(F.expr(c).cast("long"))
         band = now.groupBy("band").agg(n("NOT now").alias("open"), n("now AND NOT used").alias("next"), (F.max("misses") + (n("new") == 0).cast("int")).alias("m"))
-        going = band.where(f"m < {MISSES} AND (open > 1 OR open = 1 AND next > 0)").select("band", "m", (F.col("next") > 0).alias("going"))
+        band = band.where("open > 1 OR open = 1 AND next > 0")
+        going = band.where(f"m < {MISSES}").select("band", "m", (F.col("next") > 0).alias("going"))
+        # Every line that was central has met those that are left.
+        over = now.where("NOT used").join(band.where(f"m >= {MISSES}").select("band"), "band").select("h").distinct()
+        over, over_at = saved(over, "band-rest")
+        made += [over_at]
+        rest = over if rest is None else rest.union(over)
         dropped(spark, rows_at)
         rows, rows_at = saved(now.join(going, "band").select("band", "h", "weight", F.col("now").alias("joined"), "used", F.col("m").alias("misses"), "going"), "band-rows")
         turn += 1
         made += [central_at]
         made += [pairs_at, links_at, of_at, now_at]
+    if rest is not None and not is_empty(rest):
+        more, more_at = saved(_left_over(rest.distinct(), texts, of, percent), "line-links")
+        made += [more_at]
+        of, of_at = saved(connected(more.union(of.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "line-components")
     dropped(spark, rows_at, *(x for x in made if of is None or x != of_at))
     if of is None:
         of, of_at = saved(keyed.select(F.col("h").alias("id"), F.col("h").alias("component_id")).limit(0), "line-components")

@@ -327,3 +327,23 @@ def test_tier_expression(spark):
     sizes = [1, shards.LEAST_BYTES, shards.LEAST_BYTES + 1, 4 * shards.LEAST_BYTES, 17 * shards.LEAST_BYTES, 128 << 20, 1 << 33]
     rows = spark.createDataFrame([(x,) for x in sizes], "n_bytes long").select("n_bytes", shards._tier().alias("t")).collect()
     assert [r.t for r in rows] == [shards.tier_of(r.n_bytes) for r in rows]
+
+
+def test_line_dedup_compares_what_a_band_leaves_over(spark):
+    """Near copies that meet only in a band of many unlike lines are joined, whichever lines the band takes as central."""
+    import random
+
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    lines, want = [], set()
+    for band in range(6):
+        unlike = [word() for _ in range(12)]
+        lines += [(100 * band + k, band, x) for k, x in enumerate([*unlike, unlike[0][:-1] + "#"])]
+        want.add((100 * band, 100 * band + 12))
+    keyed = spark.createDataFrame([(b, h, 13) for h, b, _ in lines], "band long, h long, m long")
+    texts = spark.createDataFrame([(h, x) for h, _, x in lines], "h long, line string")
+    of, _ = line_dedup._components(keyed, texts, 80)
+    got = {}
+    for r in of.collect():
+        got.setdefault(r.component_id, set()).add(r.id)
+    assert {tuple(sorted(x)) for x in got.values()} == want
