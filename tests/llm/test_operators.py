@@ -347,3 +347,15 @@ def test_line_dedup_compares_what_a_band_leaves_over(spark):
     for r in of.collect():
         got.setdefault(r.component_id, set()).add(r.id)
     assert {tuple(sorted(x)) for x in got.values()} == want
+
+
+def test_ngram_join_leaves_no_wide_table(spark):
+    """The first shingles of all documents are not kept on disk until the end."""
+    from pathlib import Path
+
+    from confluo.scratch import shared_dir
+
+    left = lambda: set(Path(shared_dir(spark).removeprefix("file://")).glob("confluo/first-pivots-*"))
+    before = left()
+    out = ngram_join.join(docs_of(spark, ["a b c d e f g", "a b c d e f g", "x y z u v w"]), width=4, percent=85)
+    assert left() == before and sorted(r.component_id for r in out.collect()) == [0, 0, 2]
