@@ -225,3 +225,20 @@ def test_kernel_over_columns_equals_the_kernel():
     y = [draw.choice((v, word(), v and v[::-1])) for v in x]
     want = [None if a is None or b is None else S.jaro_winkler(a, b) for a, b in zip(x, y, strict=True)]
     assert S.jaro_winkler_of(pa.array(x, pa.string()), pa.array(y, pa.string())).to_pylist() == want
+
+
+def test_no_task_has_all_pairs_of_a_large_block(spark, monkeypatch):
+    """A block larger than a tile is dealt over tasks, also with repeated rows, without losing or repeating a pair."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(blocking, "TILE", 8)
+    rows = [{"record_id": f"{k:03d}", "last_name": ("Martin", "Martel", "Durand")[k % 3], "postal_code": str(k % 4 // 3)} for k in range(90)]
+    n = normalize(records(spark, *rows))
+    keys = blocking.block_keys(n)
+    plain = blocking.candidate_pairs(keys, carried=n.select("record_id", "city"))
+    pairs = blocking.candidate_pairs(keys.union(keys.limit(9)), carried=n.select("record_id", "city"), parts=12)
+    assert sorted(map(str, pairs.collect())) == sorted(map(str, plain.collect()))
+    made = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(made) < sum(made) / 3
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("SortMergeJoin [k#")[0]
