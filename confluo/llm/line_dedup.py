@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, is_empty, saved
+from .common import dropped, is_empty, saved, swept
 from .components import connected
 
 SHINGLE, PERCENT = 5, 80
@@ -133,7 +133,7 @@ def _components(keyed: DataFrame, texts: DataFrame, percent: int) -> tuple[DataF
     weight = keyed.groupBy("h").agg(F.sum("m").alias("weight"))
     no = F.lit(False)
     rows, rows_at = saved(keyed.select("band", "h").join(weight, "h").select("band", "h", "weight", no.alias("joined"), no.alias("used"), F.lit(0).alias("misses"), no.alias("going")), "band-rows")
-    tried, of, made, turn, rest = None, None, [], 0, None
+    tried, of, of_at, made, turn, rest = None, None, None, [], 0, None
     while not is_empty(rows):
         # Lines that the band has joined are central next, twice as many in each round; where there is none, the heaviest line, equal ones in one of a few orders.
         bucket = F.when(F.col("going"), F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(min(1 << turn, MOST_CENTRAL)))).otherwise(0)
@@ -146,7 +146,10 @@ def _components(keyed: DataFrame, texts: DataFrame, percent: int) -> tuple[DataF
         pairs, pairs_at = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "line-pairs")
         links, links_at = saved(_linked(pairs, texts, percent), "line-links")
         known = links if of is None else links.union(of.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
+        old_at = of_at
         of, of_at = saved(connected(known), "line-components")
+        # Links are in the components from here on; only pairs and lines left over are asked for again.
+        dropped(spark, links_at, *([old_at] if old_at else []))
         tried = pairs if tried is None else tried.union(pairs)
         # The central lines of a band are of one component.
         one = central.groupBy("band").agg(F.min("o").alias("o"))
@@ -166,14 +169,16 @@ def _components(keyed: DataFrame, texts: DataFrame, percent: int) -> tuple[DataF
         rest = over if rest is None else rest.union(over)
         dropped(spark, rows_at)
         rows, rows_at = saved(now.join(going, "band").select("band", "h", "weight", F.col("now").alias("joined"), "used", F.col("m").alias("misses"), "going"), "band-rows")
+        dropped(spark, central_at, now_at)
+        swept(spark)
         turn += 1
-        made += [central_at]
-        made += [pairs_at, links_at, of_at, now_at]
+        made += [pairs_at]
     if rest is not None and not is_empty(rest):
         more, more_at = saved(_left_over(rest.distinct(), texts, of, percent), "line-links")
-        made += [more_at]
+        made += [more_at, of_at]
         of, of_at = saved(connected(more.union(of.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "line-components")
-    dropped(spark, rows_at, *(x for x in made if of is None or x != of_at))
+    dropped(spark, rows_at, *made)
+    swept(spark)
     if of is None:
         of, of_at = saved(keyed.select(F.col("h").alias("id"), F.col("h").alias("component_id")).limit(0), "line-components")
     return of, of_at
@@ -191,11 +196,13 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, list[s
     dealt = classes.select("h", F.explode("bands").alias("band")).repartition("band")
     ends = dealt.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
     keyed, keyed_at = saved(dealt.join(ends, "band").select("band", "h", "m"), "bands")
+    swept(spark)
     asked = classes.select("h", "first").join(keyed.select("h").distinct(), "h")
     at = asked.select("h", F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row"), F.col("first.line_no").alias("_no"))
     texts = _lines(docs).join(at, (F.col("row") == F.col("_row")) & (F.col("line_no") == F.col("_no")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     # Rows that repeat a document have one place twice.
     texts, texts_at = saved(texts.groupBy("h").agg(F.min("line").alias("line")), "line-texts")
+    swept(spark)
     of, of_at = _components(keyed, texts, percent)
     dropped(spark, keyed_at, texts_at)
     # Lines of which there is more than one, by class or by component.

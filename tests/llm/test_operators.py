@@ -359,3 +359,33 @@ def test_ngram_join_leaves_no_wide_table(spark):
     before = left()
     out = ngram_join.join(docs_of(spark, ["a b c d e f g", "a b c d e f g", "x y z u v w"]), width=4, percent=85)
     assert left() == before and sorted(r.component_id for r in out.collect()) == [0, 0, 2]
+
+
+def test_line_dedup_keeps_no_tables_of_ended_rounds(spark, monkeypatch):
+    """Of each kind of table that a round makes, the disk has one or two at a time, whatever the number of rounds."""
+    import random
+    from collections import Counter
+
+    draw, live, most, kinds, rounds = random.Random(9), {}, Counter(), ("band-central", "line-links", "line-components", "band-marks", "band-rows"), []
+    saved, dropped = line_dedup.saved, line_dedup.dropped
+
+    def save(df, name):
+        out = saved(df, name)
+        live[out[1]] = name
+        rounds.append(name)
+        most.update({k: max(0, n - most[k]) for k, n in Counter(live.values()).items()})
+        return out
+
+    def drop(s, *paths):
+        for p in paths:
+            live.pop(p, None)
+        dropped(s, *paths)
+
+    monkeypatch.setattr(line_dedup, "saved", save)
+    monkeypatch.setattr(line_dedup, "dropped", drop)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(80)]
+    base = [draw.choice(words) for _ in range(14)]
+    lines = [" ".join(draw.choice(words) if draw.random() < 0.04 * (k % 9) else w for w in base) for k in range(120)]
+    line_dedup.removals(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert rounds.count("line-pairs") > 2 and all(most[k] <= 2 for k in kinds)
+    assert list(live.values()) == ["lines-gone"]
