@@ -11,17 +11,18 @@ have marks at both ends, so that short ones meet by partial runs. Each RUN neigh
 Lines of at most SHORT characters have a second signature, of five-character shingles. On lines with random edits down
 to a similarity of 0.8 the bands find 0.97 of the pairs, of closer ones more (measured; a test repeats it on a small scale).
 
-Verification. Equal lines are one class from the start, so copies are never paired. In rounds, the lines of a band meet
-central ones: first the line that meets most others in all its bands, then the lines that the band has joined to it, twice
-as many in each round, then the next of the rest. Each such pair is compared by its whole shingle sets, whatever its number. Lines that are joined
-are not compared again. A band ends when no line is left or MISSES of its rounds have joined nothing; bands of one
-family have different central lines. Lines that such an end leaves uncompared are joined exactly: their shingles are
-ordered, rare ones first, and each two lines of different components that share one of the first n - ceil(0.8 n) + 1
-are compared, so no pair that shares a band is lost, and lines that merely share a passage, which is frequent, do not
-meet by it. Links are closed by distributed union-find; a component keeps its first line by doc_id and line
-number.
-
-All joins are plain ones on hashed keys, whatever the number of rows; no filter grows or saturates with the data.
+Verification. Equal lines are one class from the start, so copies are never paired. Two lines of a band are compared
+unless they are known to be of one component. First the lines of each band meet a central one, then, in the bands that
+are not of one component yet, a second one of those that the first has not joined; then each two lines of different
+components that are left in a band meet. In bands with more than BLOCK lines left, only those meet that can be similar at
+all: their shingles are ordered, rare ones first, and each two lines of different components that share one of the first
+n - ceil(0.8 n) + 1 meet, so no pair that shares a band is lost. Of lines that meet, a sketch (of 64 * WORDS classes of
+hashes, whether a line has an odd number of shingles in it) tells at least how many shingles are in one line alone; where
+these are too many for the similarity, and only there, the pair is done. All others are compared by their whole shingle
+sets. Links are closed by distributed union-find; a component keeps its first line by doc_id and line number.
+
+All joins are plain ones on hashed keys, whatever the number of rows; where one side is much smaller, it alone is hashed
+and the wide one not sorted. A sketch is of one line and does not grow or saturate with the data.
 Shuffled once each: a row of keys for each line, the bands, and the texts of lines twice (for comparison and removal).
 
 Defined results: a null text stays null and an empty one empty; a null doc_id sorts first; rows that repeat both doc_id
@@ -44,10 +45,12 @@ WIDTH, MINIMA, RUN = 9, 12, 3
 FEW = 8
 #: Lines that also have a signature of narrow shingles, of NARROW minima.
 SHORT, NARROW = 32, 8
-#: Orders in which bands take equally central lines, and the rounds without a new link after which a band ends.
-ORDERS, MISSES = 3, 2
-#: Joined lines that one band takes as central in one round at most; the others follow in the next rounds.
-MOST_CENTRAL = 64
+#: Central lines that the lines of a band meet one after the other.
+CENTRAL = 2
+#: Lines left in a band of which each two meet; those of larger bands meet by rare shingles.
+BLOCK = 1024
+#: 64-bit words of a line's sketch.
+WORDS = 8
 #: Characters of a line that are hashed in one piece.
 SEGMENT = 1 << 16
 
@@ -92,7 +95,10 @@ def bands(line: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """Distinct hashes of a line's five-character shingles."""
-    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(_hashes(line, f".{{{SHINGLE}}}"))
+    # Four bytes for every character, so that a shingle is cut out without a search for its place.
+    at = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
+    cut = _once(F.encode(line, "UTF-32"), lambda b: F.transform(at(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * SHINGLE)))))
+    return F.array_distinct(cut)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -101,6 +107,32 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL").select("doc_id", row, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike("\\S"))
 
 
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(h, n, w0, w1, ...) of lines: the number of shingles, and a bit for each class of hashes that is set if an odd number of them is in it."""
+    rows = texts.select("h", F.explode(shingles(F.col("line"))).alias("s"))
+    bit = "shiftleft(1L, cast(s & 63 AS int))"
+    words = [F.expr(f"bit_xor(IF((shiftright(s, 6) & {WORDS - 1}) = {j}, {bit}, 0L))").alias(f"w{j}") for j in range(WORDS)]
+    return rows.groupBy("h").agg(F.count("*").alias("n"), *words)
+
+
+def _side(rows: DataFrame, k: str, *shared: str) -> DataFrame:
+    """Rows with a sketch as one side (a or b) of pairs; shared columns keep their names."""
+    own = [c for c in rows.columns if c not in ("h", *shared)]
+    return rows.select(*shared, F.col("h").alias(k), *(F.col(c).alias(f"{c[0]}{k}{c[1:]}") for c in own))
+
+
+def _may_link(percent: int) -> str:
+    """Whether two sketches leave it open that the lines are similar enough: a class that differs has a shingle of one line alone."""
+    alone = " + ".join(f"bit_count(wa{j} ^ wb{j})" for j in range(WORDS))
+    return f"{100 + percent} * ({alone}) <= {100 - percent} * (na + nb)"
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of lines that their sketches do not tell apart."""
+    both = pairs.join(_side(sketches, "a").hint("merge"), "a").join(_side(sketches, "b").hint("merge"), "b")
+    return both.where(_may_link(percent)).select("a", "b")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets are similar enough; texts has (h, line)."""
     side = lambda k: texts.select(F.col("h").alias(k), F.col("line").alias(f"t{k}"))
@@ -110,8 +142,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return sized.where(F.expr(f"100 * c >= {percent} * (n - c)")).select("a", "b")
 
 
-def _left_over(rest: DataFrame, texts: DataFrame, of: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components among the lines (h): all pairs that are similar enough, by rare shingles."""
+def _left_over(rest: DataFrame, texts: DataFrame, sketches: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among the lines (h) by rare shingles; all pairs that are similar enough are among them."""
     of = of.select(F.col("id").alias("h"), F.col("component_id").alias("c"))
     sets = rest.join(texts, "h").select("h", shingles(F.col("line")).alias("x"))
     rows = sets.select("h", F.size("x").alias("n"), F.explode("x").alias("s"))
@@ -124,63 +156,49 @@ def _left_over(rest: DataFrame, texts: DataFrame, of: DataFrame, percent: int) -
     first = first.join(open_.hint("merge"), "s")
     side = lambda k: first.select("s", F.col("h").alias(k), F.col("n").alias(f"n{k}"), F.col("c").alias(f"c{k}"))
     met = side("a").hint("merge").join(side("b"), "s").where(f"a < b AND ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return _linked(met.select("a", "b").distinct(), texts, percent)
+    return _near(met.select("a", "b").distinct(), sketches, percent)
 
 
 def _components(keyed: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, str]:
-    """(id, component_id) of linked lines, from (band, h, m) of the lines in bands of m lines, by rounds of central lines."""
+    """(id, component_id) of linked lines, from (band, h, m) of the lines in bands of m lines."""
     spark = keyed.sparkSession
-    weight = keyed.groupBy("h").agg(F.sum("m").alias("weight"))
-    no = F.lit(False)
-    rows, rows_at = saved(keyed.select("band", "h").join(weight, "h").select("band", "h", "weight", no.alias("joined"), no.alias("used"), F.lit(0).alias("misses"), no.alias("going")), "band-rows")
-    tried, of, of_at, made, turn, rest = None, None, None, [], 0, None
-    while not is_empty(rows):
-        # Lines that the band has joined are central next, twice as many in each round; where there is none, the heaviest line, equal ones in one of a few orders.
-        bucket = F.when(F.col("going"), F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(min(1 << turn, MOST_CENTRAL)))).otherwise(0)
-        rank = F.struct((-F.col("weight")).alias("w"), F.xxhash64("h", F.pmod("band", F.lit(ORDERS)), F.lit(turn)).alias("t"), "h")
-        central = rows.where("NOT used AND going = joined").groupBy("band", bucket.alias("k")).agg(F.min(rank).alias("c")).select("band", F.col("c.h").alias("o"))
-        central, central_at = saved(central, "band-central")
-        # A line of a band that starts anew leaves those joined before behind.
-        left = rows.where("going OR NOT joined")
-        pairs = left.where("NOT joined").join(central, "band").where("h <> o").select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
-        pairs, pairs_at = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "line-pairs")
+    sketches, sketches_at = saved(_sketches(texts), "line-sketches")
+    of = keyed.select(F.col("h").alias("id"), F.col("h").alias("component_id")).limit(0)
+    of, of_at = saved(of, "line-components")
+
+    def joined(met: DataFrame) -> None:
+        """Compare pairs that their sketches do not tell apart, and close the links."""
+        nonlocal of, of_at
+        pairs, pairs_at = saved(met, "line-pairs")
         links, links_at = saved(_linked(pairs, texts, percent), "line-links")
-        known = links if of is None else links.union(of.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
         old_at = of_at
-        of, of_at = saved(connected(known), "line-components")
-        # Links are in the components from here on; only pairs and lines left over are asked for again.
-        dropped(spark, links_at, *([old_at] if old_at else []))
-        tried = pairs if tried is None else tried.union(pairs)
-        # The central lines of a band are of one component.
-        one = central.groupBy("band").agg(F.min("o").alias("o"))
-        of_h, of_o = of.select(F.col("id").alias("h"), F.col("component_id").alias("ch")), of.select(F.col("id").alias("o"), F.col("component_id").alias("co"))
-        now = left.join(one, "band").join(of_h, "h", "left").join(of_o, "o", "left").withColumn("now", F.coalesce("ch", "h") == F.coalesce("co", "o")).drop("ch", "co")
-        now = now.join(central.select("band", F.col("o").alias("h"), F.lit(True).alias("c")), ["band", "h"], "left").withColumn("c", F.coalesce("c", F.lit(False)))
-        now = now.select("band", "h", "weight", "now", (F.col("used") | F.col("c")).alias("used"), "misses", (F.col("now") & ~F.col("joined") & ~F.col("c")).alias("new"))
-        now, now_at = saved(now, "band-marks")
-        n = lambda c: F.sum(F.expr(c).cast("long"))
-        band = now.groupBy("band").agg(n("NOT now").alias("open"), n("now AND NOT used").alias("next"), (F.max("misses") + (n("new") == 0).cast("int")).alias("m"))
-        band = band.where("open > 1 OR open = 1 AND next > 0")
-        going = band.where(f"m < {MISSES}").select("band", "m", (F.col("next") > 0).alias("going"))
-        # Every line that was central has met those that are left.
-        over = now.where("NOT used").join(band.where(f"m >= {MISSES}").select("band"), "band").select("h").distinct()
-        over, over_at = saved(over, "band-rest")
-        made += [over_at]
-        rest = over if rest is None else rest.union(over)
-        dropped(spark, rows_at)
-        rows, rows_at = saved(now.join(going, "band").select("band", "h", "weight", F.col("now").alias("joined"), "used", F.col("m").alias("misses"), "going"), "band-rows")
-        dropped(spark, central_at, now_at)
+        of, of_at = saved(connected(links.union(of.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "line-components")
+        dropped(spark, pairs_at, links_at, old_at)
+
+    rows, rows_at = keyed.select("band", "h", F.col("h").alias("c"), F.lit(False).alias("joined")), None
+    for _ in range(CENTRAL):
+        # The least of the lines that no central one has joined.
+        central = rows.groupBy("band").agg(F.min(F.struct("joined", "h", "c")).alias("o")).select("band", F.col("o.h").alias("o"), F.col("o.c").alias("co"))
+        led, led_at = saved(rows.join(central.hint("merge"), "band"), "band-rows")
+        dropped(spark, *([rows_at] if rows_at else []))
+        met = led.where("c <> co").select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
+        joined(_near(met, sketches, percent))
+        now = led.select("band", "h", "joined", "o").join(of.select(F.col("id").alias("h"), F.col("component_id").alias("c")).hint("merge"), "h", "left").withColumn("c", F.coalesce("c", "h"))
+        # A central line has met all others of its band and is done.
+        left = F.when(F.col("h") != F.col("o"), F.col("c"))
+        open_ = now.groupBy("band").agg(F.min(left).alias("c0"), F.max(left).alias("c1"), F.count(left).alias("m"), F.max(F.when(F.col("h") == F.col("o"), F.col("c"))).alias("co"))
+        rest = now.where("h <> o").join(open_.where("c0 <> c1").select("band", "m", "co").hint("merge"), "band")
+        rows, rows_at = saved(rest.select("band", "h", "c", (F.col("joined") | (F.col("c") == F.col("co"))).alias("joined"), "m"), "band-rows")
+        dropped(spark, led_at)
         swept(spark)
-        turn += 1
-        made += [pairs_at]
-    if rest is not None and not is_empty(rest):
-        more, more_at = saved(_left_over(rest.distinct(), texts, of, percent), "line-links")
-        made += [more_at, of_at]
-        of, of_at = saved(connected(more.union(of.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "line-components")
-    dropped(spark, rows_at, *made)
+    known = rows.where(f"m <= {BLOCK}").select("band", "h", "c").join(sketches.hint("merge"), "h")
+    met = _side(known, "a", "band").hint("merge").join(_side(known, "b", "band"), "band").where(f"a < b AND ca <> cb AND {_may_link(percent)}")
+    joined(met.select("a", "b").distinct())
+    over, over_at = saved(rows.where(f"m > {BLOCK}").select("h").distinct(), "band-rest")
+    if not is_empty(over):
+        joined(_left_over(over, texts, sketches, of, percent))
+    dropped(spark, rows_at, sketches_at, over_at)
     swept(spark)
-    if of is None:
-        of, of_at = saved(keyed.select(F.col("h").alias("id"), F.col("h").alias("component_id")).limit(0), "line-components")
     return of, of_at
 
 
@@ -195,11 +213,11 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, list[s
     # Every distinct line comes to its bands once; bands of one line alone go no further.
     dealt = classes.select("h", F.explode("bands").alias("band")).repartition("band")
     ends = dealt.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
-    keyed, keyed_at = saved(dealt.join(ends, "band").select("band", "h", "m"), "bands")
+    keyed, keyed_at = saved(dealt.join(ends.hint("shuffle_hash"), "band").select("band", "h", "m"), "bands")
     swept(spark)
     asked = classes.select("h", "first").join(keyed.select("h").distinct(), "h")
     at = asked.select("h", F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row"), F.col("first.line_no").alias("_no"))
-    texts = _lines(docs).join(at, (F.col("row") == F.col("_row")) & (F.col("line_no") == F.col("_no")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = _lines(docs).join(at.hint("shuffle_hash"), (F.col("row") == F.col("_row")) & (F.col("line_no") == F.col("_no")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     # Rows that repeat a document have one place twice.
     texts, texts_at = saved(texts.groupBy("h").agg(F.min("line").alias("line")), "line-texts")
     swept(spark)

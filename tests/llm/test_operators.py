@@ -389,3 +389,33 @@ def test_line_dedup_keeps_no_tables_of_ended_rounds(spark, monkeypatch):
     line_dedup.removals(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
     assert rounds.count("line-pairs") > 2 and all(most[k] <= 2 for k in kinds)
     assert list(live.values()) == ["lines-gone"]
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_line_dedup_compares_only_what_sketches_leave_open(spark, monkeypatch, block):
+    """Unlike lines of a band are told apart without their shingle sets, and no link is lost by it, whatever the size of a block."""
+    import random
+
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    lines = []
+    for _ in range(12):
+        base = draw.sample(words, 30)
+        lines += [" ".join(draw.choice(words) if draw.random() < 0.05 else w for w in base) for _ in range(6)]
+    lines = sorted(set(lines)) + ["ab", "\U0001f600 five \U0001f601", "\U0001f600 five \U0001f602"]
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    links = [(i, j) for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = _components(len(lines), links)
+    compared, linked = [], line_dedup._linked
+
+    def count(pairs, *rest):
+        compared.extend((r.a, r.b) for r in pairs.collect())
+        return linked(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_linked", count)
+    monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+    keyed = spark.createDataFrame([(b, h, len(lines)) for b in range(2) for h in range(len(lines))], "band long, h long, m long")
+    of, _ = line_dedup._components(keyed, spark.createDataFrame(list(enumerate(lines)), "h long, line string"), 80)
+    got = {r.id: r.component_id for r in of.collect()}
+    assert [got.get(k, k) for k in range(len(lines))] == [want[k] for k in range(len(lines))]
+    assert len(compared) < 2 * len(links) + len(lines)
