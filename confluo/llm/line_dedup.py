@@ -12,8 +12,8 @@ Lines of at most SHORT characters have a second signature, of five-character shi
 to a similarity of 0.8 the bands find 0.97 of the pairs, of closer ones more (measured; a test repeats it on a small scale).
 
 Verification. Equal lines are one class from the start, so copies are never paired. Two lines of a band are compared
-unless they are known to be of one component. First the lines of each band meet a central one, then, in the bands that
-are not of one component yet, a second one of those that the first has not joined; then each two lines of different
+unless they are known to be of one component. First the lines of each band meet a central one, then, in bands that are
+not of one component yet, CENTRAL - 1 further ones that no earlier one has joined; then each two lines of different
 components that are left in a band meet. In bands with more than BLOCK lines left, only those meet that can be similar at
 all: their shingles are ordered, rare ones first, and each two lines of different components that share one of the first
 n - ceil(0.8 n) + 1 meet, so no pair that shares a band is lost. Of lines that meet, a sketch (of 64 * WORDS classes of
@@ -46,11 +46,11 @@ FEW = 8
 #: Lines that also have a signature of narrow shingles, of NARROW minima.
 SHORT, NARROW = 32, 8
 #: Central lines that the lines of a band meet one after the other.
-CENTRAL = 2
+CENTRAL = 4
 #: Lines left in a band of which each two meet; those of larger bands meet by rare shingles.
-BLOCK = 1024
+BLOCK = 4096
 #: 64-bit words of a line's sketch.
-WORDS = 8
+WORDS = 16
 #: Characters of a line that are hashed in one piece.
 SEGMENT = 1 << 16
 
@@ -153,10 +153,11 @@ def _left_over(rest: DataFrame, texts: DataFrame, sketches: DataFrame, of: DataF
     first = ranked.select("h", "n", F.explode(F.expr(f"slice(x, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")).alias("x")).where("x.f > 1")
     first = first.select("h", "n", F.col("x.s").alias("s")).join(of.hint("merge"), "h", "left").withColumn("c", F.coalesce("c", "h"))
     open_ = first.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("s")
-    first = first.join(open_.hint("merge"), "s")
-    side = lambda k: first.select("s", F.col("h").alias(k), F.col("n").alias(f"n{k}"), F.col("c").alias(f"c{k}"))
-    met = side("a").hint("merge").join(side("b"), "s").where(f"a < b AND ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return _near(met.select("a", "b").distinct(), sketches, percent)
+    # Lines come with their sketches, so that only pairs that these leave open are made.
+    first = first.join(open_.hint("merge"), "s").select("s", "h", "c").join(sketches.hint("merge"), "h")
+    sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    met = _side(first, "a", "s").hint("merge").join(_side(first, "b", "s"), "s").where(f"a < b AND ca <> cb AND {sized} AND {_may_link(percent)}")
+    return met.select("a", "b").distinct()
 
 
 def _components(keyed: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, str]:
