@@ -242,3 +242,67 @@ def test_no_task_has_all_pairs_of_a_large_block(spark, monkeypatch):
     assert max(made) < sum(made) / 3
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("SortMergeJoin [k#")[0]
+
+
+def _odd_records(spark, n=150):
+    """Records with missing values, swapped and odd dates, near mails, repeated bigrams and letters beyond the basic plane."""
+    import random
+
+    draw = random.Random(11)
+    some = lambda *xs: draw.choice(xs)
+    rows = []
+    for k in range(n):
+        rows.append(
+            {
+                "record_id": f"{k:04d}", "last_name": some("martin", "martine", "marti", "durand", "m", None, "𝄞é"), "first_name": some("ann", "anne", None, "abcdefgh" * 40), "birth_date": some("1990-02-03", "1990-03-02", "1990-02-04", "unknown", "unknow", None),
+                "address": some("1 rue haute", "1 rue hauts", "aaaa aaaa", "aaaa", "x", None, f"{k} rue basse"), "postal_code": some("10000", "10001", "1000", "75", None), "city": some("lyon", "lyons", None),
+                "email": some(f"a{k % 40}@x.org", f"a{k % 40}0@x.org", "b@x", "c" * 200, "c" * 199 + "d", None), "phone": some("01", "02", None),
+            }
+        )
+    return records(spark, *rows)
+
+
+def test_matrix_of_a_block_equals_the_pairs(spark, monkeypatch):
+    """Counts, links and rows from matrices are those of the pairs one by one, in small, joined and tiled blocks."""
+    from confluo.operators import compare, matrix
+
+    monkeypatch.setattr(blocking, "TILE", 40)
+    rows = _odd_records(spark)
+    keys = blocking.block_keys(rows)
+    carried = rows.select("record_id", *ATTRIBUTES)
+    t = rows.select("record_id", F.expr("CASE WHEN record_id % 7 > 0 THEN record_id % 9 END").cast("string").alias("true_entity"), F.expr("cast(record_id % 2 + 1 AS int)").alias("fold"))
+    pairs = compare.levels(compare.similarities(blocking.candidate_pairs(keys), carried)).select("a", "b", *(f"lvl_{x}" for x in ATTRIBUTES))
+    of = {r["record_id"]: r for r in t.collect()}
+    want = {}
+    for r in pairs.collect():
+        x, y = of[r["a"]], of[r["b"]]
+        key = (*r[2:], x["true_entity"] is not None and x["true_entity"] == y["true_entity"], x["fold"] if x["fold"] == y["fold"] else 0)
+        want[key] = want.get(key, 0) + 1
+    assert {tuple(r)[:-1]: r["n"] for r in matrix.counted(blocking.dealt(keys, carried.join(t, "record_id"), 3)).collect()} == want
+    by_code = decide.decisions(matrix.all_profiles(spark), decide.priors().weights())
+    decided = decide.decisions(pairs, decide.priors().weights()).select("a", "b", "match_weight", "verdict")
+    dealt = blocking.dealt(keys, carried, 3)
+    assert sorted(matrix.decided(dealt, by_code, {"match_weight": "double", "verdict": "string"}).collect()) == sorted(decided.collect())
+    codes = [r["code"] for r in by_code.where("verdict = 'MATCH'").collect()]
+    assert sorted(matrix.linked(dealt, codes).collect()) == sorted(decided.where("verdict = 'MATCH'").select("a", "b").collect())
+
+
+def test_values_with_one_edit_between_them():
+    import random
+
+    from confluo.operators import matrix
+
+    draw = random.Random(3)
+    values = sorted({"".join(draw.choice("ab𝄞") for _ in range(draw.choice((1, 2, 3, 4, 130)))) for _ in range(150)})
+    values += ["z" * 200, "z" * 201, "z" * 128, "z" * 129]
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row = row, [i]
+            for j, d in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+        return row[-1]
+
+    want = {(i, j) for i, x in enumerate(values) for j, y in enumerate(values) if i != j and abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1}
+    assert set(zip(*(p.tolist() for p in matrix.near(values)), strict=True)) == want
